@@ -259,3 +259,55 @@ def avg_importance(df: DataFrame, by: Sequence[str] = ("feature",), imp: str = "
     """Test-count weighted mean importance."""
     i, w = F.col(imp), F.col(n)
     return df.groupBy(*by).agg((F.sum(i * w) / F.sum(w)).alias("importance"))
+
+
+def all_null_cols(df: DataFrame, cols: Sequence[str], by: str | None = None) -> DataFrame:
+    """Which columns are entirely NULL (per ``by`` group): one aggregate for all
+    columns, returned long (by, column, all_null)."""
+    aggs = [F.count(c).alias(c) for c in cols]
+    a = df.groupBy(by).agg(*aggs) if by else df.agg(*aggs)
+    keep = [by] if by else []
+    stacked = a.unpivot(keep, list(cols), "column", "n") if keep else a.unpivot([], list(cols), "column", "n")
+    return stacked.select(*keep, "column", (F.col("n") == 0).alias("all_null"))
+
+
+def encode_term(df: DataFrame, how: str = "onehot", term: str = "termnum", offset: int = 0) -> DataFrame:
+    """Time as a feature: one-hot (index offset + term, value 1) or one real
+    feature (index offset, value = term)."""
+    if how == "onehot":
+        return df.withColumn("term_idx", (F.col(term) + F.lit(offset)).cast("long")) \
+                 .withColumn("term_val", F.lit(1.0))
+    if how == "real":
+        return df.withColumn("term_idx", F.lit(offset).cast("long")) \
+                 .withColumn("term_val", F.col(term).cast("double"))
+    raise ValueError(f"unknown term encoding {how!r}")
+
+
+def leaderboard(results: dict, err: str = "error") -> DataFrame:
+    """Methods ranked by overall RMSE (numeric order); ``results`` maps name -> frame."""
+    parts = [d.agg(F.lit(name).alias("method"), F.sqrt(F.avg(F.col(err) * F.col(err))).alias("rmse"),
+                   F.count(F.lit(1)).alias("n")) for name, d in results.items()]
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    # one row per method
+    return u.withColumn("rank", F.rank().over(W.orderBy("rmse", "method")).cast("long"))
+
+
+def top_feature_series(df: DataFrame, k: int = 10, term: str = "termnum", feature: str = "feature",
+                       imp: str = "importance") -> DataFrame:
+    """Keep the importance series of the k features with the highest mean
+    importance in the first term (ties by name)."""
+    first = df.agg(F.min(term)).first()[0]
+    top = (df.where(F.col(term) == first).groupBy(feature).agg(F.avg(imp).alias("_m"))
+             .orderBy(F.col("_m").desc(), F.col(feature)).limit(k).select(feature))
+    return df.join(top, feature, "left_semi")
+
+
+def importance_ts(df: DataFrame, term: str = "termnum", feature: str = "feature",
+                  imp: str = "importance") -> DataFrame:
+    """Mean importance per (term, feature) with the feature's first-term value,
+    for ordering series by their starting importance."""
+    t = df.groupBy(term, feature).agg(F.avg(imp).alias("importance"))
+    w = W.partitionBy(feature).orderBy(term)
+    return t.withColumn("first_importance", F.first("importance").over(w.rowsBetween(W.unboundedPreceding, 0)))

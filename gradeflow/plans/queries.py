@@ -44,3 +44,4 @@ FROM v_ratings r JOIN (SELECT sid, min(termnum) AS f FROM v_ratings GROUP BY sid
 JOIN (SELECT cid, min(termnum) AS f FROM v_ratings GROUP BY cid) fi ON r.cid = fi.cid""")
 
 from gradeflow.plans import q_core  # noqa: E402,F401
+from gradeflow.plans import q_basic  # noqa: E402,F401

@@ -238,3 +238,34 @@ def with_views(body: str, *names: str, extra: dict | None = None,
         visit(n)
     ctes = ",\n".join(f"{n} AS ({defs[n].strip()})" for n in order)
     return f"WITH {ctes}\n{body.strip()}" if ctes else body.strip()
+
+
+def importance_frame(fx: Fixture) -> DataFrame:
+    """Importance-shaped table (termnum, feature, model, importance, test_count)
+    derived from the course records: per term, each discipline's share of the
+    records (model ``count``) and of the credit hours (model ``hours``)."""
+    c = fx.courses.join(F.broadcast(fx.term_map), "termbnr")
+    g = c.groupBy("termnum", "disc").agg(F.count(F.lit(1)).alias("n"), F.sum("hrs").alias("h"))
+    w = W.partitionBy("termnum")  # one partition per term: a few hundred rows each
+    tot_n, tot_h = F.sum("n").over(w), F.sum("h").over(w)
+    base = g.select("termnum", F.col("disc").alias("feature"), (F.col("n") / tot_n).alias("imp_count"),
+                    (F.col("h") / tot_h).alias("imp_hours"), tot_n.alias("test_count"))
+    cnt = base.select("termnum", "feature", F.lit("count").alias("model"),
+                      F.col("imp_count").alias("importance"), "test_count")
+    hrs = base.select("termnum", "feature", F.lit("hours").alias("model"),
+                      F.col("imp_hours").alias("importance"), "test_count")
+    return cnt.unionByName(hrs)
+
+
+VIEW_SQL["v_importance"] = """
+SELECT termnum, feature, model, importance, test_count FROM (
+  SELECT t.termnum, c.disc AS feature, 'count' AS model,
+         count(*) / sum(count(*)) OVER (PARTITION BY t.termnum) AS importance,
+         CAST(sum(count(*)) OVER (PARTITION BY t.termnum) AS BIGINT) AS test_count
+  FROM v_courses c JOIN v_terms t ON c.termbnr = t.termbnr GROUP BY t.termnum, c.disc
+  UNION ALL
+  SELECT t.termnum, c.disc AS feature, 'hours' AS model,
+         sum(c.hrs) / sum(sum(c.hrs)) OVER (PARTITION BY t.termnum) AS importance,
+         CAST(sum(count(*)) OVER (PARTITION BY t.termnum) AS BIGINT) AS test_count
+  FROM v_courses c JOIN v_terms t ON c.termbnr = t.termbnr GROUP BY t.termnum, c.disc) u"""
+VIEW_DEPS["v_importance"] = ["v_courses", "v_terms"]
