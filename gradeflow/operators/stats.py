@@ -311,3 +311,67 @@ def importance_ts(df: DataFrame, term: str = "termnum", feature: str = "feature"
     t = df.groupBy(term, feature).agg(F.avg(imp).alias("importance"))
     w = W.partitionBy(feature).orderBy(term)
     return t.withColumn("first_importance", F.first("importance").over(w.rowsBetween(W.unboundedPreceding, 0)))
+
+
+def cold_summary_by(df: DataFrame, by: str = "termnum", cs: str = "cs") -> DataFrame:
+    """Cold-start counts per group plus the overall row (grouping sets)."""
+    c = F.col(cs)
+    n = F.count(F.lit(1))
+    cold = F.count_if(c != "ncs")
+    return (df.groupingSets([[by], []], by).agg(
+        n.alias("n"), cold.alias("cold"), F.count_if(c == "ncs").alias("not_cold"),
+        (100.0 * cold / n).alias("pct_cold"), F.count_if(c == "csb").alias("both"),
+        F.count_if(c == "css").alias("student_only"), F.count_if(c == "csc").alias("course_only"),
+        (F.grouping(by) == 1).alias("is_all")))
+
+
+def grouped_describe(df: DataFrame, group: str, metrics: Sequence[str]) -> DataFrame:
+    """count/mean/std/min/quartiles/max of several metrics per group, long form
+    (group, metric, ...): one unpivot and one aggregate."""
+    long = df.unpivot([group], list(metrics), "metric", "value")
+    v = F.col("value")
+    q = F.percentile(v, [0.25, 0.5, 0.75])
+    return (long.groupBy(group, "metric").agg(
+        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+        F.min(v).alias("min"), q.alias("_q"), F.max(v).alias("max"))
+        .select(group, "metric", "count", "mean", "std", "min", F.col("_q")[0].alias("q25"),
+                F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q75"), "max"))
+
+
+def split_shares(df: DataFrame, cohort: str = "cohort") -> DataFrame:
+    """For each cohort boundary c: share of rows with cohort <= c (train) and the rest."""
+    counts = df.groupBy(cohort).agg(F.count(F.lit(1)).alias("n"))
+    # one row per cohort value
+    run = F.sum("n").over(W.orderBy(cohort).rowsBetween(W.unboundedPreceding, 0))
+    tot = F.sum("n").over(W.partitionBy())
+    return counts.select(cohort, "n", (run / tot).alias("train_share"), (1 - run / tot).alias("test_share"))
+
+
+GRAD_METRICS = ["years", "cum_gpa", "n_terms", "credits_per_term", "summer_credits"]
+
+
+def grad_stats(degrees: DataFrame, students: DataFrame, ratings: DataFrame,
+               deans_gpa: float = 3.5, on_time_years: float = 4.0) -> DataFrame:
+    """Describe graduates (all / within ``on_time_years`` / longer / GPA >= deans_gpa).
+
+    Years count half-years from the cohort term to the graduation term
+    (spring and summer = first half, fall = second half), inclusive.
+    """
+    s = students.groupBy("id").agg(
+        F.min("cohort").alias("cohort"), F.count(F.lit(1)).alias("n_terms"),
+        F.sum("term_earn_hrs").alias("hrs"),
+        F.sum(F.when(F.col("termbnr") % 100 == 40, F.col("term_earn_hrs"))).alias("summer_credits"))
+    g = ratings.groupBy("sid").agg((F.sum(F.col("chrs") * F.col("grdpts")) / F.sum("chrs")).alias("cum_gpa"))
+
+    def half(t):
+        return F.floor(F.col(t) / 100) * 2 + F.when(F.col(t) % 100 == 70, 1).otherwise(0)
+
+    d = (degrees.join(s, "id").join(g, degrees["id"] == g["sid"], "left")
+         .select("id", ((half("gradterm") - half("cohort") + 1) / 2.0).alias("years"), "cum_gpa",
+                 F.col("n_terms").cast("double").alias("n_terms"),
+                 (F.col("hrs") / F.col("n_terms")).alias("credits_per_term"), "summer_credits"))
+    grp = F.array_compact(F.array(F.lit("all"),
+                                  F.when(F.col("years") <= on_time_years, "le4").otherwise("gt4"),
+                                  F.when(F.col("cum_gpa") >= deans_gpa, "deans")))
+    d = d.withColumn("grp", F.explode(grp))
+    return grouped_describe(d.select("grp", *GRAD_METRICS), "grp", GRAD_METRICS)
