@@ -46,3 +46,4 @@ JOIN (SELECT cid, min(termnum) AS f FROM v_ratings GROUP BY cid) fi ON r.cid = f
 from gradeflow.plans import q_core  # noqa: E402,F401
 from gradeflow.plans import q_basic  # noqa: E402,F401
 from gradeflow.plans import q_stats  # noqa: E402,F401
+from gradeflow.plans import q_split  # noqa: E402,F401
