@@ -237,7 +237,11 @@ def with_views(body: str, *names: str, extra: dict | None = None,
     for n in names:
         visit(n)
     ctes = ",\n".join(f"{n} AS ({defs[n].strip()})" for n in order)
-    return f"WITH {ctes}\n{body.strip()}" if ctes else body.strip()
+    kw = "WITH RECURSIVE" if any(n in RECURSIVE for n in order) else "WITH"
+    return f"{kw} {ctes}\n{body.strip()}" if ctes else body.strip()
+
+
+RECURSIVE: set[str] = set()  # views defined by a recursive CTE
 
 
 def importance_frame(fx: Fixture) -> DataFrame:
