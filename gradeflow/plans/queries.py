@@ -48,3 +48,4 @@ from gradeflow.plans import q_basic  # noqa: E402,F401
 from gradeflow.plans import q_stats  # noqa: E402,F401
 from gradeflow.plans import q_split  # noqa: E402,F401
 from gradeflow.plans import q_flow  # noqa: E402,F401
+from gradeflow.plans import q_explore  # noqa: E402,F401
