@@ -50,3 +50,4 @@ from gradeflow.plans import q_split  # noqa: E402,F401
 from gradeflow.plans import q_flow  # noqa: E402,F401
 from gradeflow.plans import q_explore  # noqa: E402,F401
 from gradeflow.plans import q_models  # noqa: E402,F401
+from gradeflow.plans import q_io  # noqa: E402,F401
