@@ -43,15 +43,14 @@ def grade_points(grade, policy: str = "standard", strict: bool = False) -> Colum
         table.update(REPORT_POLICY_EXTRA)
     elif policy != "standard":
         raise ValueError(f"unknown grade policy {policy!r}")
-    expr = None
-    for letter, pts in table.items():
-        cond = g == F.lit(letter)
-        expr = F.when(cond, F.lit(float(pts))) if expr is None else expr.when(cond, F.lit(float(pts)))
-    known = F.lit(None).cast("double")
-    if strict:
-        known = F.when(g.isin(*NON_GPA_LETTERS) | g.isNull(), F.lit(None).cast("double")).otherwise(
-            F.raise_error(F.concat(F.lit("unknown grade letter: "), g)).cast("double"))
-    return expr.otherwise(known)
+    # one literal map lookup: the letter expression is evaluated once per row
+    # (a CASE chain would be inlined into every branch of an upstream CASE)
+    lookup = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(float(v)))])
+    pts = F.try_element_at(lookup, g)
+    if not strict:
+        return pts
+    return F.when(pts.isNotNull() | g.isNull() | g.isin(*NON_GPA_LETTERS), pts).otherwise(
+        F.raise_error(F.concat(F.lit("unknown grade letter: "), g)).cast("double"))
 
 
 def course_level(cnum) -> Column:
