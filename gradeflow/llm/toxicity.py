@@ -2,12 +2,15 @@
 
 *Learning.*  Token counts of toxic and clean training texts give log-odds with
 an informative Dirichlet prior (prior mass in proportion to the corpus
-frequency).  Tokens whose z-score passes ``Z`` are candidates; they are counted
-again over distinct (word before, word, word after) contexts, so that copies of
-one text count once, and those that still pass form the lexicon.  All other
-tokens share one log-odds value, slightly negative.
-
-*Scoring.*  A linear scan finds every maximal scoring segment of a text.
+frequency).  Tokens whose z-score passes ``Z`` are candidates.  They are counted
+again by document, where a (word before, word, word after) context counts for
+one document only: copies of a text, and a text that repeats its words, count
+once.  Those that still pass, with odds of ``MIN_ODDS`` at least, form the
+lexicon; a token scores its log-odds less one standard error, so that rare
+ones say less.  All other tokens share one value, slightly negative.
+
+*Scoring.*  A linear scan finds every maximal scoring segment of a text; a
+token scores where it first occurs, repeats are like other tokens.
 Chance segments of clean text follow an extreme-value law: E(S) = K n
 exp(-lambda S); lambda comes from the clean token distribution, K from the
 segments of clean training texts.  The evidence of a text is minus the log of
@@ -30,9 +33,11 @@ from pyspark.sql import functions as F
 from gradeflow.llm.bpe import BoundedCache
 from gradeflow.llm.common import is_held_out, rows, words_of
 
-Z = 2.5
-PRIOR_SHARE = 0.01      # Dirichlet prior mass as a share of all training tokens
-LEXICON = 50_000        # tokens kept at most, by |z|: bounds the broadcast model
+Z = 1.5
+MIN_ODDS = math.log(4)
+PRIOR_SHARE = 0.001     # Dirichlet prior mass as a share of all training tokens
+PRIOR_LEAST = 0.05      # and at least, for a token
+LEXICON = 50_000        # tokens kept at most, by z: bounds the broadcast model
 BROADCAST_ROWS = 1_000_000
 FLUSH = 200_000
 BIN = 0.25              # evidence bins of the calibration
@@ -54,8 +59,8 @@ class Model:
     bias: float = -20.0
 
     def evidence(self, best: float, n: int) -> float:
-        """-ln E of the best segment; at least -ln of the text's length."""
-        return self.lam * best - math.log(self.k * max(n, 1))
+        """-ln E of the best segment; none, or one expected by chance, is zero."""
+        return max(0.0, self.lam * best - math.log(self.k * max(n, 1))) if best > 0 else 0.0
 
     def probability(self, evidence: float) -> float:
         return 1.0 / (1.0 + math.exp(-max(-50.0, min(50.0, self.bias + self.slope * evidence))))
@@ -97,7 +102,10 @@ class Scorer:
     def __call__(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
         words = words_of(text)
         s = np.fromiter(map(self.of.__getitem__, words), np.float64, len(words))
-        at = np.flatnonzero(s != self.model.other)
+        first: dict[bytes, int] = {}
+        for i in np.flatnonzero(s != self.model.other).tolist():
+            first.setdefault(token(words[i]), i)
+        at = np.array([*first.values()], np.int64)
         return len(words), segments(at, s[at], len(words), self.model.other)
 
 
@@ -110,7 +118,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: st
     if y.count() <= BROADCAST_ROWS:  # 12 bytes a row; larger tables are joined by key
         y = F.broadcast(y)
     return (docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-            .join(y, "k").select("t", "y"))
+            .join(y, "k").select("k", "t", "y"))
 
 
 def _token_counts(train: DataFrame) -> DataFrame:
@@ -138,27 +146,29 @@ def _token_counts(train: DataFrame) -> DataFrame:
             .agg(F.sum("y0").alias("y0"), F.sum("y1").alias("y1")))
 
 
-def _context_counts(train: DataFrame, words: set[bytes]) -> DataFrame:
-    """Counts of the given tokens over distinct contexts, in each class."""
+def _document_counts(train: DataFrame, words: set[bytes]) -> DataFrame:
+    """Documents of each class that use the given tokens in a context of their
+    own: a context that recurs belongs to the smallest document."""
     def run(batches):
         of = BoundedCache(token)
-        for texts, ys in rows(batches, "t", "y"):
-            w_out, c_out, y_out = [], [], []
-            for t, y in zip(texts, ys):
+        for keys, texts, ys in rows(batches, "k", "t", "y"):
+            found = {}
+            for k, t, y in zip(keys, texts, ys):
                 ws = [of[w] for w in words_of(t)]
                 for i, w in enumerate(ws):
                     if w in words:
-                        w_out.append(w)
-                        c_out.append(b" ".join(ws[max(0, i - 1):i + 2]))
-                        y_out.append(1 if y == 1 else 0)
-            yield pa.RecordBatch.from_pydict({"w": pa.array(w_out, pa.binary()), "c": pa.array(c_out, pa.binary()),
-                                              "y": pa.array(y_out, pa.int32())})
-
-    return (train.mapInArrow(run, "w binary, c binary, y int").distinct().groupBy("w")
+                        found.setdefault((w, b" ".join(ws[max(0, i - 1):i + 2]), 1 if y == 1 else 0), k)
+            yield pa.RecordBatch.from_pydict({
+                "w": pa.array([f[0] for f in found], pa.binary()), "c": pa.array([f[1] for f in found], pa.binary()),
+                "y": pa.array([f[2] for f in found], pa.int32()), "k": pa.array([*found.values()], pa.int64())})
+
+    return (train.select(F.col("k").cast("long").alias("k"), "t", "y")
+            .mapInArrow(run, "w binary, c binary, y int, k long")
+            .groupBy("w", "c", "y").agg(F.min("k").alias("k")).select("w", "y", "k").distinct().groupBy("w")
             .agg(F.sum(F.when(F.col("y") == 0, 1).otherwise(0)).alias("y0"), F.sum("y").alias("y1")))
 
 
-def _log_odds(y0: float, y1: float, n0: float, n1: float, a: float, a0: float) -> tuple[float, float]:
+def log_odds(y0: float, y1: float, n0: float, n1: float, a: float, a0: float) -> tuple[float, float]:
     """Log-odds and z-score under a Dirichlet prior of mass ``a`` for the token."""
     d = math.log((y1 + a) / (n1 + a0 - y1 - a)) - math.log((y0 + a) / (n0 + a0 - y0 - a))
     return d, d / math.sqrt(1 / (y1 + a) + 1 / (y0 + a))
@@ -176,19 +186,20 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     if not n0 or not n1:
         return Model()
     a0 = PRIOR_SHARE * (n0 + n1)
-    a = F.lit(PRIOR_SHARE) * (F.col("y0") + F.col("y1"))
+    a = F.greatest(F.lit(PRIOR_SHARE) * (F.col("y0") + F.col("y1")), F.lit(PRIOR_LEAST))
     d = F.log((F.col("y1") + a) / (n1 + a0 - F.col("y1") - a)) - F.log((F.col("y0") + a) / (n0 + a0 - F.col("y0") - a))
     z = d / F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a))
-    picked = (counts.select("w", "y0", "y1", z.alias("z")).where(F.abs("z") >= Z)
-              .orderBy(F.abs("z").desc(), "w").limit(LEXICON).collect())
+    picked = (counts.select("w", "y0", "y1", z.alias("z")).where((F.col("z") >= Z) & (d >= MIN_ODDS))
+              .orderBy(F.desc("z"), "w").limit(LEXICON).collect())
     first = {bytes(r["w"]): (r["y0"], r["y1"]) for r in picked}
-    again = {bytes(r["w"]): (r["y0"], r["y1"]) for r in _context_counts(train, set(first)).collect()} if first else {}
+    again = {bytes(r["w"]): (r["y0"], r["y1"]) for r in _document_counts(train, set(first)).collect()} if first else {}
+    docs0, docs1 = (float(x or 0) for x in train.agg(F.sum(1 - F.col("y")), F.sum("y")).first())
     scores, m0, m1 = {}, 0.0, 0.0
     for w, (y0, y1) in first.items():
         c0, c1 = again.get(w, (0, 0))
-        s, z_ = _log_odds(c0, c1, n0, n1, PRIOR_SHARE * (c0 + c1), a0)
-        if abs(z_) >= Z:
-            scores[w] = s
+        s, z_ = log_odds(c0, c1, docs0 + 1, docs1 + 1, PRIOR_SHARE * (c0 + c1) + PRIOR_LEAST, PRIOR_SHARE * (docs0 + docs1))
+        if z_ >= Z and s >= MIN_ODDS:
+            scores[w] = s - s / z_
             m0, m1 = m0 + y0, m1 + y1
     # what is left shares one value: its odds, and a small charge per word
     other = min(math.log((n1 - m1 + 1) / (n1 + 1)) - math.log((n0 - m0 + 1) / (n0 + 1)), -0.005)
@@ -237,11 +248,11 @@ def _calibrate(model: Model, train: DataFrame) -> None:
             .groupBy("y", "nb", F.floor(F.col("s") / BIN).alias("sb"))
             .agg(F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.sum("c").alias("c")).collect())
     clean = [r for r in bins if r["y"] == 0]
-    # chance segments per clean word, carried back to score zero by the law
-    found = sum(r["c"] * math.exp(model.lam * min((r["sb"] + 0.5) * BIN, 30)) for r in clean if r["sb"] > 0)
-    hits = sum(r["c"] for r in clean)
-    model.k = max(min((found if hits else 0.0) + 1.0, 10.0 * sum(r["n"] for r in clean) + 1.0), 1.0) / max(
-        1.0, sum(r["n"] for r in clean))
+    # chance segments per clean word at the least score a segment has, carried
+    # back to score zero by the law; one is added for those not seen yet
+    least = min((v for v in model.scores.values() if v > 0), default=0.0)
+    chance = sum(r["rows"] for r in clean if r["sb"] > 0)
+    model.k = (chance + 1) * math.exp(model.lam * least) / max(1.0, sum(r["n"] for r in clean))
     x = np.array([model.evidence((r["sb"] + 0.5) * BIN if r["sb"] > 0 else 0.0, round(2 ** ((r["nb"] + 0.5) / 4)))
                   for r in bins])
     y = np.array([r["y"] for r in bins], float)
