@@ -1,4 +1,8 @@
-"""Registered queries of the corpus operators and their DuckDB SQL."""
+"""Registered queries of the corpus operators and their DuckDB SQL.
+
+Operators with learned scores, links, merges or files have no SQL form; they
+are held against plain versions in ``tests/llm``.
+"""
 
 from __future__ import annotations
 
@@ -7,12 +11,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeflow.llm import bpe, decontam, simhash, token_shards, toxicity
+from gradeflow.llm import (bpe, decontam, lm, quality, secret_scan, simhash, suffix_dedup, token_shards, toxicity,
+                           warc)
 from gradeflow.llm.common import shared_folder, table
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY),
                                        shared_folder(spark, "token-shards"))
@@ -26,6 +35,18 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -34,7 +55,53 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_shards, op3_bpe, op4_simhash, op8_toxicity, op9_decontaminate)}
-
-ORACLE_SQL: dict[str, str] = {}
+def op10_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.revisits_of_pages(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_suffix_dedup, op2_token_shards, op3_bpe, op4_simhash, op5_quality, op6_lm, op7_secrets, op8_toxicity,
+    op9_decontaminate, op10_revisits)}
+
+_CANONICAL = r"""
+regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), ':(80|443)$', ''), '^(www|m)\.', '')
+|| regexp_replace(regexp_replace(regexp_extract(bare, '^[^/?]*(/[^?]*)', 1), '/index\.html?$', '/'), '/+$', '')
+|| CASE WHEN len(params) > 0 THEN '?' || array_to_string(list_sort(params), '&') ELSE '' END
+"""
+
+ORACLE_SQL: dict[str, str] = {"op10_revisits": rf"""
+WITH p AS (
+  SELECT page_id AS i, url, md5(coalesce(html, '')) AS d, 1600000000 + page_id * 131 AS modified FROM pages
+  WHERE page_id IS NOT NULL),
+captures AS (
+  SELECT i * 2 AS record_id, true AS response, url AS uri, 1700000000 + (i * 7919) % 864000 AS at, i, d, modified FROM p
+  UNION ALL
+  SELECT i * 2 + 1, false, regexp_replace(url, '#.*$', '') || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END
+    || 'utm_source=again#seen', 1700000000 + (i * 7919) % 864000 + 3600 + (i * 104729) % 500000, i, d, modified FROM p),
+cut AS (
+  SELECT *, regexp_replace(regexp_replace(trim(uri), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM captures),
+split AS (
+  SELECT *, list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'),
+    x -> x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid|sessionid)=?')) AS params FROM cut),
+r AS (SELECT *, {_CANONICAL} AS u FROM split),
+matched AS (
+  SELECT a.record_id, a.u AS canonical, a.i, a.d, a.modified, b.record_id AS match, b.i AS bi, b.d AS bd, b.modified AS bm
+  FROM r a LEFT JOIN r b ON b.response AND b.i % 11 <> 0 AND a.u = b.u
+    AND (b.at < a.at OR b.at = a.at AND b.record_id < a.record_id)
+  WHERE NOT a.response
+  QUALIFY row_number() OVER (PARTITION BY a.record_id ORDER BY b.at DESC NULLS LAST, b.record_id DESC) = 1),
+judged AS (
+  SELECT *, CASE WHEN match IS NULL THEN 'no_response'
+    WHEN CASE WHEN i % 5 = 0 THEN modified = bm WHEN i % 7 = 0 THEN false ELSE left(d, 16) = left(bd, 16) END
+    THEN 'resolved' ELSE 'validator_mismatch' END AS resolution FROM matched)
+SELECT record_id, canonical, resolution, CASE WHEN resolution = 'resolved' THEN match END AS resolved_id,
+  CASE WHEN resolution = 'resolved' THEN bd END AS digest,
+  CASE WHEN resolution = 'resolved' THEN
+    CASE WHEN i % 5 = 0 THEN
+      'cache-control: max-age=60' || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || i || chr(10)
+      || 'etag: "' || left(bd, 16) || '"' || chr(10) || 'last-modified: ' || modified
+    ELSE
+      'cache-control: max-age=90' || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || i || chr(10)
+      || 'etag: W/"' || left(d, 16) || '"' || chr(10) || 'last-modified: ' || bm END END AS merged_headers
+FROM judged
+"""}

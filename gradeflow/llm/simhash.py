@@ -46,18 +46,21 @@ def simhash(text: str | None, words_per_shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def with_fingerprint(df: DataFrame, text: str, words_per_shingle: int, out: str = "fp") -> DataFrame:
-    """Appends the fingerprint as a signed long; null text counts as no words."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != text)
+def with_fingerprint(df: DataFrame, text: str, words_per_shingle: int, out: str = "fp",
+                     keep_text: bool = False) -> DataFrame:
+    """Appends the fingerprint as a signed long, without the text unless asked
+    for; null text counts as no words."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields
+                       if keep_text or f.name != text)
 
     def run(batches):
         for b in batches:
             fps = np.array([simhash(t, words_per_shingle) for t in b.column(text).to_pylist()], np.uint64)
-            kept = [i for i, c in enumerate(b.schema.names) if c != text]
+            kept = [i for i, c in enumerate(b.schema.names) if keep_text or c != text]
             yield pa.RecordBatch.from_arrays([b.column(i) for i in kept] + [pa.array(fps.view(np.int64))],
                                              names=[b.schema.names[i] for i in kept] + [out])
 
-    return df.mapInArrow(run, f"{schema}, {out} long")
+    return df.mapInArrow(run, f"{schema}, `{out}` long" if schema else f"`{out}` long")
 
 
 # -- vantage-point trees -------------------------------------------------------
@@ -239,12 +242,33 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     their rows.  An empty table gives an empty result."""
     fps = write_scratch(with_fingerprint(df.select(F.col(key).alias("key"), F.col(text).alias("text")),
                                          "text", words_per_shingle), "simhash-fp")
-    distinct = fps.groupBy("fp").agg(F.min("key").alias("low"))
-    distinct = write_scratch(distinct, "simhash-distinct")
+    return fps.join(_members(fps, radius).select("fp", "component_id"), "fp").select(
+        F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _members(fps: DataFrame, radius: int) -> DataFrame:
+    """(fp, low, root, component_id) per distinct fingerprint: its smallest
+    key, its component and that one's smallest key."""
+    distinct = write_scratch(fps.groupBy("fp").agg(F.min("key").alias("low")), "simhash-distinct")
     comp = components(links(distinct, radius))
     members = distinct.join(comp, distinct["fp"] == comp["node"], "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root"))
     smallest = members.groupBy("root").agg(F.min("low").alias("component_id"))
-    label = members.join(smallest, "root").select("fp", "component_id")
-    return fps.join(label, "fp").select(
-        F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return members.join(smallest, "root")
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", words_per_shingle: int = 3,
+                radius: int = 2) -> DataFrame:
+    """One row of each component, the one with the smallest key (a null key
+    only where no other is there; of rows that repeat, one), columns as they are."""
+    fps = write_scratch(with_fingerprint(df.select(F.col(key).alias("key"), F.col(text).alias("text")),
+                                         "text", words_per_shingle), "simhash-fp")
+    pick = _members(fps, radius).groupBy("root").agg(
+        F.min(F.struct(F.col("low").isNull().alias("none"), "low", "fp")).alias("p"))
+    pick = pick.select(F.col("p.low").alias("__low"), F.col("p.fp").alias("__pick"))
+    name = "__fp"
+    while name in df.columns:
+        name += "_"
+    marked = with_fingerprint(df, text, words_per_shingle, name, keep_text=True)
+    return (marked.join(pick, F.col(f"`{key}`").eqNullSafe(F.col("__low")) & (F.col(name) == F.col("__pick")), "left_semi")
+            .dropDuplicates([key, name]).drop(name))
