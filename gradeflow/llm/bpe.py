@@ -25,6 +25,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from gradeflow.llm.common import rows
 
@@ -288,15 +290,17 @@ def encode_frame(df: DataFrame, path: str, emit: Emit, out_schema: str, key: str
     fields = [f.split()[0] for f in out_schema.split(",")]
     schema = f"key {key_type}, {out_schema}"
 
-    def arrow(batch_schema: pa.Schema | None, keys, outs):
-        cols = {"key": pa.array(keys, type=batch_schema)} | {f: [o[f] for o in outs] for f in fields}
-        return pa.RecordBatch.from_pydict(cols)
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def arrow(keys, outs) -> pa.RecordBatch:
+        cols = {"key": keys} | {f: [o[f] for o in outs] for f in fields}
+        return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in kinds], schema=kinds)
 
     def whole(batches):
         bpe = load(path)
         for b in batches:
             outs = [emit(bpe, bpe.encode(t)) for t in b.column("text").to_pylist()]
-            yield arrow(b.schema.field("key").type, b.column("key").to_pylist(), outs)
+            yield arrow(b.column("key").to_pylist(), outs)
 
     def cut_up(batches):
         bpe = load(path)
@@ -304,8 +308,9 @@ def encode_frame(df: DataFrame, path: str, emit: Emit, out_schema: str, key: str
             for k, u, t in zip(keys, uids, texts):
                 parts = [*_segments(bpe, t, max(1, segment_chars // 16))]
                 yield pa.RecordBatch.from_pydict({
-                    "key": [k] * len(parts), "uid": [u] * len(parts), "seq": [*range(len(parts))],
-                    "piece": [p[0] for p in parts], "data": [p[1] for p in parts],
+                    "key": pa.array([k] * len(parts), kinds.field("key").type), "uid": [u] * len(parts),
+                    "seq": pa.array(range(len(parts)), pa.int32()),
+                    "piece": pa.array([p[0] for p in parts], pa.int32()), "data": [p[1] for p in parts],
                     "added": [p[2] for p in parts]})
 
     def encode_parts(batches):
@@ -336,8 +341,7 @@ def encode_frame(df: DataFrame, path: str, emit: Emit, out_schema: str, key: str
                 end += 1
             out += bpe.join_all(ids[at:end])
             at = end
-        return pa.Table.from_batches([arrow(t.schema.field("key").type, t["key"].to_pylist()[:1],
-                                            [emit(bpe, out)])])
+        return pa.Table.from_batches([arrow(t["key"].to_pylist()[:1], [emit(bpe, out)])])
 
     is_long = F.length("text") > segment_chars
     short = src.where(~is_long).mapInArrow(whole, schema)
