@@ -82,7 +82,7 @@ cut AS (
   SELECT *, regexp_replace(regexp_replace(trim(uri), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM captures),
 split AS (
   SELECT *, list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'),
-    x -> x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid|sessionid)=?')) AS params FROM cut),
+    lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid|sessionid)=?')) AS params FROM cut),
 r AS (SELECT *, {_CANONICAL} AS u FROM split),
 matched AS (
   SELECT a.record_id, a.u AS canonical, a.i, a.d, a.modified, b.record_id AS match, b.i AS bi, b.d AS bd, b.modified AS bm

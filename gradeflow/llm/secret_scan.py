@@ -145,13 +145,13 @@ def forest_sql(model) -> str:
     """The forest's vote share as nested CASE expressions over the array ``x``."""
     def node_sql(node) -> str:
         if node.numDescendants() == 0:
-            return repr(float(node.prediction()))
+            return f"{float(node.prediction())!r}D"
         s = node.split()
         return (f"CASE WHEN get(x, {s.featureIndex()}) <= {s.threshold()!r}D THEN {node_sql(node.leftChild())} "
                 f"ELSE {node_sql(node.rightChild())} END")
 
     trees = [node_sql(t._java_obj.rootNode()) for t in model.trees]
-    return "(" + " + ".join(f"({t})" for t in trees) + f") / {float(len(trees))!r}"
+    return "(" + " + ".join(f"({t})" for t in trees) + f") / {float(len(trees))!r}D"
 
 
 # -- scanning ------------------------------------------------------------------

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 from helpers import SMALL, docs
+from pyspark.sql import functions as F
 
 from gradeflow.llm import quality as q
 
@@ -77,7 +78,7 @@ def test_estimate_agrees_and_resists_outliers(spark):
     x[:80] += 40  # a fifth of the rows, all on one side
     df = spark.createDataFrame([("g", *map(float, r)) for r in x], ["g", *q.X]).repartition(5)
     est = q.robust_estimates(df)
-    got = np.array([r[0] for r in df.join(est, "g").select((q._distance() / est["scale"]).alias("d"), *q.X)
+    got = np.array([r[0] for r in df.join(est, "g").select((q._distance() / F.col("scale")).alias("d"), *q.X)
                    .orderBy(*q.X).select("d").collect()])
     want = plain_estimate(x)[np.lexsort(x.T[::-1])]
     assert np.allclose(got, want, rtol=1e-6)

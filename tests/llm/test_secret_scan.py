@@ -4,7 +4,8 @@ import re
 
 from helpers import collect, docs
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from gradeflow.llm import secret_scan as ss
@@ -49,11 +50,9 @@ def test_forest_as_sql_votes_like_the_model(spark):
     assert {r[0] for r in data.select("label").distinct().collect()} == {0.0, 1.0}
     model = RandomForestClassifier(numTrees=7, maxDepth=4, seed=2).fit(data.withColumn("features", array_to_vector("x")))
     votes = F.expr(ss.forest_sql(model))
-    trees = sum((F.element_at(vector_to_array("rawPrediction"), 2) * 0 for _ in range(1)), F.lit(0.0))
-    scored = model.transform(data.withColumn("features", array_to_vector("x"))).select("x", votes.alias("v"), trees)
+    scored = data.select("x", votes.alias("v"))
     rows = [(r["x"], r["v"]) for r in scored.collect()]
     for x, v in rows[:200]:
-        from pyspark.ml.linalg import Vectors
         want = sum(t.predict(Vectors.dense(x)) for t in model.trees) / 7
         assert abs(v - want) < 1e-12
 
@@ -66,7 +65,7 @@ def test_secrets_go_and_decoys_stay(spark):
         assert not re.search(r"[0-9a-f]{18}", red) and "AKIA" not in red
         if k % 6 == 0:
             assert "page/river/green/window/123" in red and "walking-paper-light-window-77" in red
-        masked = re.sub(r'(?<=token = ")[0-9a-f]{40}"|(?<=password=)[0-9a-f]{18}|AKIA[0-9A-Z]{16}', ss.MASK, t)
+        masked = re.sub(r'(?<=token = ")[0-9a-f]{40}|(?<=password=)[0-9a-f]{18}|AKIA[0-9A-Z]{16}', ss.MASK, t)
         assert red == masked
 
 
