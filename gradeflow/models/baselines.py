@@ -7,11 +7,14 @@ wrappers for use inside ``rolling_eval``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeflow.functions.scalars import clip
 from gradeflow.operators.features import prior_means
+from gradeflow.operators.split import row_hash
 from gradeflow.operators.stats import with_error
 
 
@@ -54,23 +57,40 @@ def global_mean(train: DataFrame, test: DataFrame, value="grdpts") -> DataFrame:
     return test.withColumn("pred", F.lit(mu).cast("double"))
 
 
-def uniform_baseline(train: DataFrame, test: DataFrame, value="grdpts", seed: int = 42) -> DataFrame:
+def uniform_draw(seed: int, *keys: str) -> Column:
+    """Uniform in [0, 1): 52 bits of the md5 of (seed, keys), so that a row draws
+    the same value on any cluster, in a retried stage and in another engine."""
+    return F.conv(F.substring(row_hash(seed, *keys), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def normal_draw(seed: int, *keys: str) -> Column:
+    """Standard normal by the Box-Muller transform of two independent draws."""
+    u, v = uniform_draw(seed, *keys), uniform_draw(seed + 1, *keys)
+    return F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u)) * F.cos(F.lit(2 * math.pi) * v)
+
+
+DRAW_KEYS = ("sid", "cid", "termnum")
+
+
+def uniform_baseline(train: DataFrame, test: DataFrame, value="grdpts", seed: int = 42,
+                     keys=DRAW_KEYS) -> DataFrame:
     """Uniform draw in [train min, train max]."""
     lo, hi = train.agg(F.min(value), F.max(value)).first()
-    return test.withColumn("pred", F.lit(float(lo)) + F.lit(float(hi - lo)) * F.rand(seed))
+    return test.withColumn("pred", F.lit(float(lo)) + F.lit(float(hi - lo)) * uniform_draw(seed, *keys))
 
 
-def normal_baseline(train: DataFrame, test: DataFrame, value="grdpts", seed: int = 42) -> DataFrame:
+def normal_baseline(train: DataFrame, test: DataFrame, value="grdpts", seed: int = 42,
+                    keys=DRAW_KEYS) -> DataFrame:
     """Normal(mean, std/sqrt(n)) of the training values (sample std)."""
     mu, sd, n = train.agg(F.avg(value), F.stddev_samp(value), F.count(value)).first()
     se = (sd or 0.0) / (n ** 0.5)
-    return test.withColumn("pred", F.lit(float(mu)) + F.lit(float(se)) * F.randn(seed))
+    return test.withColumn("pred", F.lit(float(mu)) + F.lit(float(se)) * normal_draw(seed, *keys))
 
 
 def gauss_baseline(test: DataFrame, mu: float = 2.0, sd: float = 1.0, seed: int = 42,
-                   bounds=(0.0, 4.0)) -> DataFrame:
+                   bounds=(0.0, 4.0), keys=DRAW_KEYS) -> DataFrame:
     """Normal(2, 1) draws clipped to [0, 4]."""
-    return test.withColumn("pred", clip(F.lit(mu) + F.lit(sd) * F.randn(seed), *bounds))
+    return test.withColumn("pred", clip(F.lit(mu) + F.lit(sd) * normal_draw(seed, *keys), *bounds))
 
 
 def mean_of_means(train: DataFrame, test: DataFrame, user="sid", item="cid", value="grdpts",

@@ -8,74 +8,74 @@ split values (terms).
 from __future__ import annotations
 
 import operator
+import re
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from gradeflow.operators.ids import contiguous_ids
-
-TERM_MAX = 10_000  # larger than any term ordinal
-
 OPS: dict[str, Callable] = {"lt": operator.lt, "le": operator.le, "gt": operator.gt,
                             "ge": operator.ge, "eq": operator.eq, "ne": operator.ne}
 
 
-@dataclass(frozen=True)
-class TermFilter:
-    """Filter spec ``a-b`` (cohorts a..b, all terms), ``a-b:c-d`` (cohorts a..b,
-    terms c..d) or ``a:c`` (cohorts from a, terms from c)."""
-    cohort_start: int
-    cohort_end: int
-    term_start: int = 0
-    term_end: int = TERM_MAX
-
-    @classmethod
-    def parse(cls, spec: str) -> "TermFilter":
-        def rng(s):
-            if "-" in s:
-                a, b = s.split("-")
-                return int(a), int(b)
-            return int(s), TERM_MAX
-        if ":" in spec:
-            c, t = spec.split(":")
-            return cls(*rng(c), *rng(t))
-        a, b = spec.split("-")
-        return cls(int(a), int(b))
-
-    def mask(self, cohort: str = "cohort", term: str = "termnum") -> Column:
-        """NULL-safe: a NULL cohort fails the filter (lands in test)."""
-        c, t = F.col(cohort), F.col(term)
-        m = (c >= self.cohort_start) & (c <= self.cohort_end) & (t >= self.term_start) & (t <= self.term_end)
-        return F.coalesce(m, F.lit(False))
+class Span(NamedTuple):
+    """Closed range of ordinals; ``last`` is None when it has no end."""
+    first: int
+    last: int | None
+
+    def holds(self, c: Column) -> Column:
+        inside = c >= self.first
+        return inside if self.last is None else inside & (c <= self.last)
+
+
+_FILTER = re.compile(r"(\d+)(?:-(\d+))?(?::(\d+)(?:-(\d+))?)?")
+
+
+def parse_filter(spec: str) -> tuple[Span, Span]:
+    """(cohorts, terms) of ``a-b``, ``a-b:c-d``, ``a:c`` and mixtures: a number
+    without an end means "from here on", a missing term part every term."""
+    m = _FILTER.fullmatch(spec.strip())
+    if not m:
+        raise ValueError(f"not a cohort/term filter: {spec!r}")
+    a, b, c, d = (None if g is None else int(g) for g in m.groups())
+    return Span(a, b), Span(c or 0, d)
+
+
+def filter_mask(spec: str, cohort: str = "cohort", term: str = "termnum") -> Column:
+    """NULL-safe: a NULL cohort or term fails the filter (lands in test)."""
+    cohorts, terms = parse_filter(spec)
+    return F.coalesce(cohorts.holds(F.col(cohort)) & terms.holds(F.col(term)), F.lit(False))
 
 
 def split_filter(df: DataFrame, spec: str, cohort: str = "cohort", term: str = "termnum") -> DataFrame:
-    f = TermFilter.parse(spec)
-    return df.withColumn("split", F.when(f.mask(cohort, term), "train").otherwise("test"))
+    return df.withColumn("split", F.when(filter_mask(spec, cohort, term), "train").otherwise("test"))
 
 
 def split_data(df: DataFrame, specs: Sequence[str], cohort: str = "cohort", term: str = "termnum",
                mode: str = "default") -> DataFrame:
-    """Several filters: train = any mask; test rows with term <= max(cohort_end)
-    ("oddballs": NULL cohort, or courses before enrolment) move to train.
-
-    ``mode="reference"``: test = union of complements, so a row matching one
-    filter but not another is in both sides (two output rows).
-    """
-    fs = [TermFilter.parse(s) for s in specs]
-    start = max(f.cohort_end for f in fs)
+    """Several filters: train = any mask; test rows up to the oddball boundary
+    (NULL cohort, or courses before enrolment) move to train.
+
+    The boundary is the largest cohort a filter names: its end, or its start
+    when it has no end.  ``mode="reference"``: test = union of complements, so a
+    row matching one filter but not another is in both sides (two output rows),
+    and a filter without an end puts the boundary behind every term."""
+    cohorts = [parse_filter(s)[0] for s in specs]
+    masks = [filter_mask(s, cohort, term) for s in specs]
     any_mask = F.lit(False)
-    for f in fs:
-        any_mask = any_mask | f.mask(cohort, term)
-    odd = F.col(term) <= start
+    for m in masks:
+        any_mask = any_mask | m
     if mode == "default":
+        edge = max(c.first if c.last is None else c.last for c in cohorts)
+        odd = F.coalesce(F.col(term) <= edge, F.lit(False))
         return df.withColumn("split", F.when(any_mask | odd, "train").otherwise("test"))
     if mode == "reference":
+        open_ended = any(c.last is None for c in cohorts)
+        odd = F.col(term).isNotNull() if open_ended else F.col(term) <= max(c.last for c in cohorts)
         all_mask = F.lit(True)
-        for f in fs:
-            all_mask = all_mask & f.mask(cohort, term)
+        for m in masks:
+            all_mask = all_mask & m
         labels = F.array_compact(F.array(
             F.when(any_mask | (~all_mask & odd), "train"),
             F.when(~all_mask & ~odd, "test")))
@@ -125,18 +125,34 @@ def split_summary(df: DataFrame, col: str = "termnum", window: int | None = None
     return counts.select(col, F.coalesce(F.sum("n_test").over(w), F.lit(0)).alias("n_train"), "n_test")
 
 
+def row_hash(seed: int, *cols: str) -> Column:
+    """md5 of the seed and the key columns as text: a draw that depends on the
+    row alone, on every cluster and in every engine."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]).cast("binary"))
+
+
 def random_split(df: DataFrame, p: float, seed: int = 42, keys: Sequence[str] | None = None) -> DataFrame:
-    """Exactly int(N * p + 1) rows labelled train, chosen by a seeded hash.
+    """Exactly int(N * p + 1) rows (at most N) labelled train: those with the
+    smallest hashes of (seed, key columns).
 
-    The hash of (seed, key columns) is deterministic under recomputation (unlike
-    ``rand()`` after a shuffle); positions come from the scalable contiguous
-    numbering, not a single-partition window."""
+    Counts per hash prefix (65,536 at most) give the prefix at which the count
+    is reached; only rows of that prefix are ranked, all others are labelled by
+    comparison in one narrow pass."""
     keys = list(keys or df.columns)
-    n = df.count()
-    ntrain = int(n * p + 1)
-    h = df.withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]))
-    ranked = contiguous_ids(h, [F.col("_h")] + [F.col(k) for k in keys], "_pos")
-    return ranked.withColumn("split", F.when(F.col("_pos") < ntrain, "train").otherwise("test")).drop("_h", "_pos")
+    h = df.withColumn("_h", row_hash(seed, *keys)).withColumn("_p", F.substring("_h", 1, 4))
+    counts = h.groupBy("_p").agg(F.count(F.lit(1)).alias("n"))
+    run = counts.withColumn("below", F.sum("n").over(W.orderBy("_p")) - F.col("n")) \
+                .withColumn("total", F.sum("n").over(W.partitionBy()))
+    take = F.floor(F.col("total") * F.lit(float(p)) + 1)
+    edge = run.where((F.col("below") < take) & (F.col("below") + F.col("n") >= take)) \
+              .select("_p", (take - F.col("below")).alias("need")).first()
+    if edge is None:  # fewer rows than asked for
+        return df.withColumn("split", F.lit("train"))
+    at, need = F.lit(edge["_p"]), edge["need"]
+    ranked = F.row_number().over(W.orderBy("_h", *keys)) <= need
+    inside = h.where(F.col("_p") == at).withColumn("split", F.when(ranked, "train").otherwise("test"))
+    outside = h.where(F.col("_p") != at).withColumn("split", F.when(F.col("_p") < at, "train").otherwise("test"))
+    return outside.unionByName(inside).drop("_h", "_p")
 
 
 def holdout_k(df: DataFrame, k: int, seed: int = 42, user: str = "sid", item: str = "cid",
@@ -146,7 +162,7 @@ def holdout_k(df: DataFrame, k: int, seed: int = 42, user: str = "sid", item: st
     Exact top-k in two rounds so a heavy user is not sorted in one task: the
     user's rows are spread over ``salts`` groups, each keeps its k smallest
     hashes, then the user keeps the k smallest of those candidates."""
-    h = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(item)))
+    h = df.withColumn("_h", row_hash(seed, item))
     h = h.withColumn("_salt", F.pmod(F.xxhash64(F.col(item), F.lit(seed + 1)), F.lit(salts)))
     w1 = W.partitionBy(user, "_salt").orderBy("_h", item)
     cand = h.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k)
@@ -160,14 +176,16 @@ def holdout_k(df: DataFrame, k: int, seed: int = 42, user: str = "sid", item: st
 
 def seed_unseen_items(train: DataFrame, test: DataFrame, k: int = 3, item: str = "cid",
                       order: Sequence[str] = ("termnum", "ord")) -> tuple[DataFrame, DataFrame]:
-    """Items absent from train: their first k test instances move to train."""
-    unseen = test.join(train.select(item).distinct(), item, "left_anti")
+    """Items absent from train: their first k test instances move to train.
+
+    Each test row is labelled once and both sides follow from the label, so a
+    row is in one of them whatever its NULLs; a NULL item is an unseen item."""
+    seen = train.select(F.col(item).alias("_item")).where("_item IS NOT NULL").distinct()
     w = W.partitionBy(item).orderBy(*order)
-    moved = unseen.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
-    keys = list(moved.columns)
-    new_test = test.join(moved.select(*keys).withColumn("_m", F.lit(True)), keys, "left") \
-        .where(F.col("_m").isNull()).drop("_m")
-    return train.unionByName(moved), new_test
+    labelled = (test.join(seen, F.col(item) == F.col("_item"), "left")
+                    .withColumn("_move", F.col("_item").isNull() & (F.row_number().over(w) <= k)))
+    return (train.unionByName(labelled.where("_move").select(*test.columns)),
+            labelled.where("NOT _move").select(*test.columns))
 
 
 def xy(df: DataFrame, target: str, features: Sequence[str] | None = None):

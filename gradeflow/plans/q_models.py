@@ -15,7 +15,7 @@ from gradeflow.models import ml as ML
 from gradeflow.operators import features as FT
 from gradeflow.operators import ids as ID
 from gradeflow.plans import rolling as RO
-from gradeflow.plans.registry import oracle, register
+from gradeflow.plans.registry import oracle, register, sql_view
 
 T = 10
 OUT = ["sid", "cid", "termnum", "grdpts", "pred", "error"]
@@ -47,17 +47,39 @@ def _cls(fx, method, multi=False):
 
 # -- baselines --------------------------------------------------------------
 
-@register("pred_uniform")
+def _draw_sql(seed: int) -> str:
+    return (f"CAST('0x' || substr(md5('{seed}|' || r.sid || '|' || r.cid || '|' || r.termnum), 1, 13) AS BIGINT) "
+            "/ 4503599627370496.0e0")
+
+
+# md5 draws of each row and the statistics of the terms before its own
+sql_view("v_draws", ["v_ratings"], f"""
+SELECT *, sqrt(-2.0e0 * ln(1.0e0 - u)) * cos(2 * pi() * v) AS z FROM (
+  SELECT r.sid, r.cid, r.termnum, r.grdpts, tr.lo, tr.hi, tr.mu, tr.sd, tr.n, {_draw_sql(42)} AS u, {_draw_sql(43)} AS v
+  FROM v_ratings r JOIN (
+    SELECT t.termnum, min(grdpts) AS lo, max(grdpts) AS hi, avg(grdpts) AS mu,
+      coalesce(stddev_samp(grdpts), 0) AS sd, count(grdpts) AS n
+    FROM (SELECT DISTINCT termnum FROM v_ratings) t JOIN v_ratings e ON e.termnum < t.termnum GROUP BY t.termnum) tr
+  ON r.termnum = tr.termnum) x""")
+
+
+def _draws_sql(pred: str) -> str:
+    return oracle(f"""
+SELECT sid, cid, termnum, grdpts, pred, grdpts - least(greatest(pred, 0.0e0), 4.0e0) AS error
+FROM (SELECT *, {pred} AS pred FROM v_draws) p""", "v_ratings", "v_draws")
+
+
+@register("pred_uniform", _draws_sql("lo + (hi - lo) * u"))
 def q_uniform(fx):
     return RO.rolling_eval(fx.ratings, B.uniform_baseline).select(*OUT)
 
 
-@register("pred_normal")
+@register("pred_normal", _draws_sql("mu + sd / sqrt(n) * z"))
 def q_normal(fx):
     return RO.rolling_eval(fx.ratings, B.normal_baseline).select(*OUT)
 
 
-@register("pred_gauss_clip")
+@register("pred_gauss_clip", _draws_sql("least(greatest(2.0e0 + z, 0.0e0), 4.0e0)"))
 def q_gauss(fx):
     return RO.rolling_eval(fx.ratings, lambda tr, te: B.gauss_baseline(te)).select(*OUT)
 

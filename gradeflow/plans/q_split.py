@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gradeflow.models import baselines as B
 from gradeflow.operators import features as FT
 from gradeflow.operators import split as SP
+from gradeflow.operators.prep import union_all
 from gradeflow.plans import rolling as RO
 from gradeflow.plans.q_stats import with_cohort
 from gradeflow.plans.registry import oracle, register, sql_view
@@ -75,19 +76,38 @@ def q_window(fx):
 
 
 @register("split_by_column", oracle("""
-SELECT termnum, CAST(coalesce(sum(n) OVER (ORDER BY termnum RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-       AS BIGINT) AS n_train, n AS n_test
-FROM (SELECT termnum, count(*) AS n FROM v_ratings GROUP BY termnum) t""", "v_ratings"))
+SELECT a.sid, a.cid, a.termnum, v.termnum AS at,
+  CASE WHEN a.termnum <> v.termnum THEN 'train' ELSE 'test' END AS split
+FROM v_ratings a, (SELECT DISTINCT termnum FROM v_ratings) v WHERE a.termnum BETWEEN v.termnum - 2 AND v.termnum
+UNION ALL
+SELECT sid, cid, termnum, -1, 'n_train ' || sum(n) OVER w FROM (
+  SELECT NULL::BIGINT AS sid, NULL::VARCHAR AS cid, termnum, count(*) AS n FROM v_ratings GROUP BY termnum) t
+WINDOW w AS (ORDER BY termnum RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+QUALIFY sum(n) OVER w IS NOT NULL""", "v_ratings"))
 def q_split_by_col(fx):
-    return SP.split_summary(fx.ratings, "termnum")
-
-
-@register("split_random")
+    """Every split of the comparator splitter (train: earlier terms within a
+    window of two), and the train sizes that the one-job summary reports."""
+    parts = []
+    for v, train, test in SP.splits(fx.ratings, "termnum", "lt", "eq", window=2):
+        for side, d in (("train", train), ("test", test)):
+            parts.append(d.select("sid", "cid", "termnum", F.lit(v).cast("long").alias("at"), F.lit(side).alias("split")))
+    sizes = SP.split_summary(fx.ratings, "termnum").where("n_train > 0").select(
+        F.lit(None).cast("long").alias("sid"), F.lit(None).cast("string").alias("cid"), "termnum",
+        F.lit(-1).cast("long").alias("at"), F.concat(F.lit("n_train "), F.col("n_train").cast("string")).alias("split"))
+    return union_all([*parts, sizes])
+
+
+@register("split_random", oracle("""
+SELECT sid, cid, termnum, CASE WHEN row_number() OVER (ORDER BY md5('7|' || sid || '|' || cid), sid, cid)
+  <= floor((SELECT count(*) FROM v_ratings) * 0.8e0 + 1) THEN 'train' ELSE 'test' END AS split FROM v_ratings""",
+    "v_ratings"))
 def q_random(fx):
     return SP.random_split(fx.ratings, 0.8, seed=7, keys=["sid", "cid"]).select("sid", "cid", "termnum", "split")
 
 
-@register("split_k_per_user")
+@register("split_k_per_user", oracle("""
+SELECT sid, cid, termnum, CASE WHEN row_number() OVER (PARTITION BY sid ORDER BY md5('7|' || cid), cid) <= 3
+  THEN 'test' ELSE 'train' END AS split FROM v_ratings""", "v_ratings"))
 def q_holdout_k(fx):
     return SP.holdout_k(fx.ratings, 3, seed=7).select("sid", "cid", "termnum", "split")
 
@@ -113,10 +133,12 @@ def q_min_instances(fx):
 
 
 @register("split_xy", oracle("""
-SELECT chrs, lterm_gpa, lterm_cum_gpa, total_chrs, grdpts AS label FROM v_engineered""", "v_engineered"))
+SELECT 'x' AS side, chrs, lterm_gpa, lterm_cum_gpa, total_chrs, NULL AS label FROM v_engineered
+UNION ALL SELECT 'y', NULL, NULL, NULL, NULL, grdpts FROM v_engineered""", "v_engineered"))
 def q_xy(fx):
     x, y = SP.xy(FT.engineer(fx.ratings), "grdpts", ["chrs", "lterm_gpa", "lterm_cum_gpa", "total_chrs"])
-    return FT.engineer(fx.ratings).select(*x.columns, F.col("grdpts").alias("label"))
+    return x.withColumn("side", F.lit("x")).unionByName(
+        y.select(F.col("grdpts").alias("label"), F.lit("y").alias("side")), allowMissingColumns=True)
 
 
 @register("rolling_eval", oracle("SELECT sid, cid, termnum, grdpts, pred, error FROM v_results", "v_results"))
@@ -128,5 +150,5 @@ def q_rolling(fx):
 @register("split_eval_runner", oracle(
     "SELECT sid, cid, termnum, pred, error, CAST(termnum AS VARCHAR) AS split_key FROM v_results", "v_results"))
 def q_runner(fx):
-    res = RO.run_splits(RO.split_iter(fx.ratings, "termnum"), B.mean_of_means, on_error="log")
+    res = RO.run_splits(SP.splits(fx.ratings, "termnum"), B.mean_of_means)
     return res.select("sid", "cid", "termnum", "pred", "error", "split_key")

@@ -7,13 +7,14 @@ rounded to 6 decimals on both sides (sum order differs between engines).
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradeflow.sources.fixtures import Fixture, with_views
+from gradeflow.sources.fixtures import TABLES, Fixture, with_views
 
 REGISTRY: dict[str, tuple[Callable[[Fixture], DataFrame], str | None]] = {}
 
@@ -44,6 +45,7 @@ _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType)
 
 
 GRID = 1048576.0  # 2**20
+UNROUNDED = 4398046511104.0  # 2**42
 
 
 def r6(c):
@@ -52,9 +54,11 @@ def r6(c):
     The same expression runs on the DuckDB side.  A decimal grid would put
     exact ties on values such as 89.17 / 32 = 2.7865625, where a last-bit
     difference from summation order flips the rounded digit; values with a
-    decimal fraction never land exactly on a binary half-step."""
+    decimal fraction never land exactly on a binary half-step.  NaN, infinities
+    and values that the grid's integers can't hold pass as they are."""
     x = c.cast("double")
-    return F.floor(x * F.lit(GRID) + F.lit(0.5)) / F.lit(GRID)
+    rounded = F.floor(x * F.lit(GRID) + F.lit(0.5)) / F.lit(GRID)
+    return F.when(F.isnan(x) | (F.abs(x) >= F.lit(UNROUNDED)), x).otherwise(rounded)
 
 
 def round_doubles(df: DataFrame) -> DataFrame:
@@ -70,35 +74,31 @@ def round_doubles(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-_DESCRIBE_DIR = "/root/testdata/sf0.001"
 _FLOATS = ("DOUBLE", "FLOAT", "REAL", "DECIMAL")
 _INTS = ("HUGEINT", "INTEGER", "SMALLINT", "TINYINT", "UBIGINT", "UINTEGER", "USMALLINT", "UTINYINT",
          "INT128", "UHUGEINT")
 
 
-def finalize_sql(sql: str) -> str:
+def finalize_sql(sql: str, sf_dir: str) -> str:
     """Wrap an oracle query so its output types match the Spark side:
     doubles rounded with the same expression as ``r6``, integers as BIGINT.
-    Column types come from DuckDB's binder (``DESCRIBE``, nothing is run)."""
-    try:
-        import os
-
-        import duckdb
-        con = duckdb.connect()
-        for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
-                  "events", "embeddings", "documents", "pages", "benchmark", "labels", "conversations"):
-            p = f"{_DESCRIBE_DIR}/{t}.parquet"
-            if os.path.exists(p):
-                con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{p}')")
-        desc = con.execute(f"DESCRIBE {sql}").fetchall()
-    except Exception:  # noqa: BLE001 - no duckdb / no data: leave as written
-        return sql
+    Column types come from DuckDB's binder (``DESCRIBE``, nothing is run) over
+    the tables in ``sf_dir``."""
+    import duckdb
+    con = duckdb.connect()
+    for t in (*TABLES, "documents", "pages", "benchmark", "labels", "conversations"):
+        p = f"{sf_dir}/{t}.parquet"
+        if os.path.exists(p):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{p}')")
+    desc = con.execute(f"DESCRIBE {sql}").fetchall()
     repl = []
     for name, typ, *_ in desc:
         q = '"' + name.replace('"', '""') + '"'
         base = typ.split("(")[0].upper()
         if base in _FLOATS:
-            repl.append(f"floor(CAST({q} AS DOUBLE) * 1048576.0 + 0.5) / 1048576.0 AS {q}")
+            x = f"CAST({q} AS DOUBLE)"
+            repl.append(f"CASE WHEN isnan({x}) OR abs({x}) >= {UNROUNDED!r} THEN {x} "
+                        f"ELSE floor({x} * {GRID!r} + 0.5) / {GRID!r} END AS {q}")
         elif base in _INTS:
             repl.append(f"CAST({q} AS BIGINT) AS {q}")
     if not repl:

@@ -2,7 +2,7 @@
 
 A "method" is any ``fn(train, test) -> test + pred`` built from Spark jobs.
 The driver only loops over the few distinct terms; every fit and prediction is
-distributed.  The input is persisted once (memory and disk) for the loop.
+distributed.  The input is written once below the shared folder for the loop.
 """
 
 from __future__ import annotations
@@ -12,13 +12,13 @@ import logging
 from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeflow.operators.prep import remove_cold_start, union_all
-from gradeflow.operators.split import OPS, distinct_values, next_term_split
+from gradeflow.operators.split import next_term_split
 from gradeflow.operators.stats import metrics, with_error
+from gradeflow.session import scratch_path
 
 log = logging.getLogger(__name__)
 
@@ -32,7 +32,7 @@ def rolling_eval(df: DataFrame, method: Method, term: str = "termnum", window: i
     test on t, optionally drop cold-start rows, skip empty sides; return the
     union of test rows with ``pred`` (unclipped) and ``error`` (clipped)."""
     if persist:
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        df = written(df, "rolling")
     sizes = {r[0]: r[1] for r in df.groupBy(term).count().collect()}  # one row per term
     terms = sorted(sizes)
     out = []
@@ -44,8 +44,8 @@ def rolling_eval(df: DataFrame, method: Method, term: str = "termnum", window: i
         if n_train == 0 or sizes[t] == 0:
             continue
         pred = method(train, test.drop(target).withColumn(target, F.lit(None).cast("double")))
-        p = pred.select(*keys, F.col("pred"))
-        res = test.join(p, list(keys), "left")
+        p = pred.select(*keys, term, F.col("pred"))
+        res = test.join(p, [*keys, term], "left")  # a pair may recur in a later term
         out.append(with_error(res, target, "pred", bounds))
     if not out:
         raise ValueError("no term had both a train and a test side")
@@ -53,29 +53,52 @@ def rolling_eval(df: DataFrame, method: Method, term: str = "termnum", window: i
 
 
 def run_splits(splits: Iterable[tuple[object, DataFrame, DataFrame]], method: Method,
-               on_error: str = "log", threads: int = 4, target: str = "grdpts") -> DataFrame:
-    """Fit/predict every split concurrently from a small driver thread pool
-    (independent Spark jobs); failures are logged (or raised) per split."""
+               on_error: str = "raise", threads: int = 4, target: str = "grdpts") -> DataFrame:
+    """Fit/predict every split from a small driver thread pool (independent
+    Spark jobs); each result is written below the shared folder.
+
+    Splits with an empty side have nothing to learn or to predict and are left
+    out.  A failing split raises; with ``on_error="log"`` every split has a
+    ``status``: its rows say ``ok``, and a split without rows leaves one row
+    with its key and ``skipped`` or the error, so that no gap goes unseen."""
+    if on_error not in ("raise", "log"):
+        raise ValueError(f"unknown on_error {on_error!r}")
     items = list(splits)
 
     def one(item):
         key, train, test = item
+        if train.isEmpty() or test.isEmpty():
+            return key, None, "skipped"
         try:
-            res = with_error(method(train, test), target, "pred")
-            res = res.withColumn("split_key", F.lit(str(key)))
-            res.cache().count()  # materialise inside the worker thread
-            return res
+            res = with_error(method(train, test), target, "pred").withColumn("split_key", F.lit(str(key)))
+            return key, written(res, "split"), "ok"
         except Exception as err:  # noqa: BLE001
             if on_error == "raise":
                 raise
             log.error("split %s failed: %s", key, err)
-            return None
+            return key, None, f"{type(err).__name__}: {err}"
 
     with ThreadPoolExecutor(max_workers=threads) as ex:
-        results = [r for r in ex.map(one, items) if r is not None]
-    if not results:
-        raise ValueError("every split failed")
-    return union_all(results)
+        results = list(ex.map(one, items))
+    frames = [r for _, r, _ in results if r is not None]
+    if not frames:
+        raise ValueError("no split gave a result: " + "; ".join(f"{k}: {s}" for k, _, s in results))
+    out = union_all(frames)
+    if on_error == "raise":
+        return out
+    gaps = [(str(k), s) for k, r, s in results if r is None]
+    out = out.withColumn("status", F.lit("ok"))
+    if not gaps:
+        return out
+    return out.unionByName(out.sparkSession.createDataFrame(gaps, "split_key string, status string"),
+                           allowMissingColumns=True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame once below the shared folder and read it back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _default_eval(df, method, **kw):
@@ -112,20 +135,10 @@ def grid(df: DataFrame, method_for: Callable[..., Method], param_grid: dict, eva
     return out.orderBy("rmse", "params")
 
 
-def split_iter(df: DataFrame, col: str, train_op: str = "lt", test_op: str = "eq", window=None):
-    tr, te = OPS[train_op], OPS[test_op]
-    c = F.col(col)
-    for v in distinct_values(df, col):
-        m = tr(c, F.lit(v))
-        if window is not None:
-            m = m & (c >= v - window)
-        yield v, df.where(m), df.where(te(c, F.lit(v)))
-
-
 def holdout_eval(df: DataFrame, method: Method, t: int, term: str = "termnum", target: str = "grdpts",
                  keys=("sid", "cid")) -> DataFrame:
     """One all-terms split: train on term < t, predict every later term."""
     train, test = df.where(F.col(term) < t), df.where(F.col(term) >= t)
     pred = method(train, test.drop(target).withColumn(target, F.lit(None).cast("double")))
-    res = test.join(pred.select(*keys, "pred"), list(keys), "left")
+    res = test.join(pred.select(*keys, term, "pred"), [*keys, term], "left")
     return with_error(res, target, "pred")
