@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from gradeflow.functions.scalars import clip, safe_div
+from gradeflow.operators.prep import null_safe_join
+from gradeflow.session import cut_lineage
 
 # ---------------------------------------------------------------------------
 # errors and metrics
@@ -70,8 +72,43 @@ def combine(per_group: DataFrame, metric: str = "rmse", n: str = "n") -> DataFra
 # imputation
 # ---------------------------------------------------------------------------
 
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+                    by: Sequence[str] = ()) -> DataFrame:
+    """(by..., column, n, q): exact interpolated quantiles, ``q[k]`` for probs[k].
+
+    All columns in one long job: values are counted (combined map-side), the
+    counts range-partitioned by (group, column, value), and running counts
+    come from per-partition totals plus a window inside each partition, so no
+    task holds a column.  The ranks around each position are then the least
+    values whose running count exceeds them.  NULLs are left out; a column
+    without values has no row."""
+    by, keys = list(by), [*by, "column"]
+    long = (df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
+              .unpivot(by, list(cols), "column", "value").where(F.col("value").isNotNull()))
+    counts = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    # partition ids must not change between the passes
+    ranged = cut_lineage(counts.repartitionByRange(*keys, "value").withColumn("_pid", F.spark_partition_id()))
+    per = ranged.groupBy(*keys, "_pid").agg(F.sum("n").alias("_t"))
+    # one row per partition, group and column
+    w = W.partitionBy(*keys)
+    offsets = per.select(*keys, "_pid", F.sum("_t").over(w).alias("total"), F.coalesce(
+        F.sum("_t").over(w.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    run = null_safe_join(ranged, offsets, [*keys, "_pid"], "left").withColumn(
+        "upto", F.col("before") + F.sum("n").over(W.partitionBy(*keys, "_pid").orderBy("value")))
+    aggs = []
+    for k, p in enumerate(probs):
+        at = (F.col("total") - 1) * F.lit(float(p))
+        aggs += [F.min(F.when(F.col("upto") > F.floor(at), F.col("value"))).alias(f"_lo{k}"),
+                 F.min(F.when(F.col("upto") > F.ceil(at), F.col("value"))).alias(f"_hi{k}")]
+    out = run.groupBy(*keys).agg(F.first("total").alias("n"), *aggs)
+    qs = []
+    for k, p in enumerate(probs):
+        at, lo, hi = (F.col("n") - 1) * F.lit(float(p)), F.col(f"_lo{k}"), F.col(f"_hi{k}")
+        qs.append(F.when(lo == hi, lo).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi))
+    return out.select(*keys, "n", F.array(*qs).alias("q"))
+
+
 _AGG = {
-    "median": F.median,
     "mean": F.avg,
     "min": F.min,
     "max": F.max,
@@ -80,7 +117,10 @@ _AGG = {
 
 
 def impute_values(df: DataFrame, cols: Sequence[str], method: str = "median") -> dict:
-    """Column statistics in ONE aggregate job (a single row comes back)."""
+    """Column statistics in one job (a row per column, or a single row, comes back)."""
+    if method == "median":
+        got = {r["column"]: r["q"][0] for r in exact_quantiles(df, cols, [0.5]).collect()}
+        return {c: got.get(c) for c in cols}
     agg = _AGG[method]
     row = df.agg(*[agg(c).alias(c) for c in cols]).first()
     return {c: row[c] for c in cols}
@@ -221,37 +261,46 @@ def pred_hist(df: DataFrame, term: str = "termnum", actual: str = "grdpts", pred
              .groupBy(term, "kind", "bin").agg(F.count(F.lit(1)).alias("n")))
 
 
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+def _quartile_cols() -> list[Column]:
+    return [F.col("q")[k].alias(name) for k, name in enumerate(("q25", "q50", "q75"))]
+
+
 def error_quantiles(df: DataFrame, by: str, err: str = "error") -> DataFrame:
     """min, quartiles (exact, interpolated) and max of the error per group."""
     e = F.col(err)
-    q = F.percentile(e, [0.25, 0.5, 0.75])
-    return (df.groupBy(by).agg(F.min(e).alias("min"), q.alias("_q"), F.max(e).alias("max"),
-                               F.count(e).alias("n"))
-              .select(by, "n", "min", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"),
-                      F.col("_q")[2].alias("q75"), "max"))
+    ends = df.groupBy(by).agg(F.min(e).alias("min"), F.max(e).alias("max"), F.count(e).alias("n"))
+    q = exact_quantiles(df, [err], QUARTILES, [by]).select(by, "q")
+    return null_safe_join(ends, q, [by], "left").select(by, "n", "min", *_quartile_cols(), "max")
 
 
 def describe(df: DataFrame, cols: Sequence[str], lo: float | None = None,
              hi: float | None = None) -> DataFrame:
     """count/mean/std/min/quartiles/max per column (long form), values outside
     [lo, hi] excluded as outliers when bounds are given."""
-    parts = []
+    x = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     for c in cols:
-        x = F.col(c)
-        d = df
+        ok = F.lit(True)
         if lo is not None:
-            d = d.where(x >= lo)
+            ok = ok & (F.col(c) >= lo)
         if hi is not None:
-            d = d.where(x <= hi)
-        q = F.percentile(x, [0.25, 0.5, 0.75])
-        parts.append(d.agg(F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"),
-                           F.stddev_samp(x).alias("std"), F.min(x).cast("double").alias("min"),
-                           q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"),
-                           F.max(x).cast("double").alias("max")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+            ok = ok & (F.col(c) <= hi)
+        x = x.withColumn(c, F.when(ok, F.col(c)))
+    return _describe(x, [], cols)
+
+
+def _describe(df: DataFrame, by: Sequence[str], cols: Sequence[str], name: str = "column") -> DataFrame:
+    """One unpivot and one aggregate for the moments, one exact quantile job."""
+    v = F.col("value")
+    long = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(list(by), list(cols), "column", "value")
+    keys = [*by, "column"]
+    stats = long.groupBy(*keys).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+                                    F.min(v).alias("min"), F.max(v).alias("max"))
+    q = exact_quantiles(df, cols, QUARTILES, by).drop("n")
+    return null_safe_join(stats, q, keys, "left").select(
+        *by, F.col("column").alias(name), "count", "mean", "std", "min", *_quartile_cols(), "max")
 
 
 def avg_importance(df: DataFrame, by: Sequence[str] = ("feature",), imp: str = "importance",
@@ -327,15 +376,8 @@ def cold_summary_by(df: DataFrame, by: str = "termnum", cs: str = "cs") -> DataF
 
 def grouped_describe(df: DataFrame, group: str, metrics: Sequence[str]) -> DataFrame:
     """count/mean/std/min/quartiles/max of several metrics per group, long form
-    (group, metric, ...): one unpivot and one aggregate."""
-    long = df.unpivot([group], list(metrics), "metric", "value")
-    v = F.col("value")
-    q = F.percentile(v, [0.25, 0.5, 0.75])
-    return (long.groupBy(group, "metric").agg(
-        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"), q.alias("_q"), F.max(v).alias("max"))
-        .select(group, "metric", "count", "mean", "std", "min", F.col("_q")[0].alias("q25"),
-                F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q75"), "max"))
+    (group, metric, ...)."""
+    return _describe(df, [group], metrics, "metric")
 
 
 def split_shares(df: DataFrame, cohort: str = "cohort") -> DataFrame:
