@@ -69,6 +69,8 @@ class Items:
             r = shared_run(len(w), e)
             for p in range(len(w) - r + 1):
                 self.grams.setdefault(r, {}).setdefault(tuple(w[p:p + r].tolist()), []).append((k, p))
+        # sorted keys of the runs, looked up for all places of a text at once
+        self.run_keys = {r: np.sort(run_keys(np.array([*g], np.int64).T)) for r, g in self.grams.items()}
         rng = np.random.default_rng(seed)
         self.walk_seeds = rng.integers(1, 1 << 62, WALKS).astype(np.uint64)
         self.tables = [(int(rng.integers(WALKS)), rng.random(SAMPLED_STEPS)) for _ in range(tables_for(recall))]
@@ -77,33 +79,28 @@ class Items:
     def code(self, windows: np.ndarray) -> np.ndarray:
         """[window, table, sampled step]: the words the walks read there."""
         n, m = windows.shape
-        steps = 3 * m
+        steps, line = 3 * m, np.arange(n)[:, None]
         padded = np.concatenate([windows, np.full((n, 1), -2)], 1)
-        out = np.empty((n, len(self.tables), SAMPLED_STEPS), np.int64)
-        for walk in {t[0] for t in self.tables}:
-            at, read = np.zeros(n, np.int64), np.empty((n, steps), np.int64)
-            line = np.arange(n)
+        at, read = np.zeros((n, WALKS), np.int64), np.empty((steps, n, WALKS), np.int64)
+        with np.errstate(over="ignore"):
+            salt = np.uint64(0x9E3779B97F4A7C15) * padded.astype(np.uint64)
             for j in range(steps):
-                read[:, j] = cur = padded[line, at]
-                with np.errstate(over="ignore"):
-                    bit = mix64(cur.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                                + self.walk_seeds[walk] * np.uint64(2 * j + 1)) & np.uint64(1)
+                read[j] = padded[line, at]
+                bit = mix64(salt[line, at] + self.walk_seeds * np.uint64(2 * j + 1)) & np.uint64(1)
                 at = np.minimum(at + bit.astype(np.int64), m)
-            for t, (of, where) in enumerate(self.tables):
-                if of == walk:
-                    out[:, t] = read[:, (where * steps).astype(int)]
-        return out
-
-    def find(self, words: list[bytes], ids: BoundedCache) -> Iterator[tuple[int, int, int, int]]:
-        """(item id, distance, first word, past the last word) of each leak."""
-        doc = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-        known = doc >= 0
+        return np.stack([read[(where * steps).astype(int), :, walk].T for walk, where in self.tables], 1)
+
+    def find(self, doc: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(item id, distance, first word, past the last word) of each leak in a
+        text given as word numbers."""
         starts: dict[int, set[int]] = {}
         for r, grams in self.grams.items():
-            if len(doc) < r:
+            n = len(doc) - r + 1
+            if n < 1:
                 continue
-            runs = np.convolve(known, np.ones(r, int), "valid") == r
-            for q in np.flatnonzero(runs).tolist():
+            keys, known = run_keys([doc[i:i + n] for i in range(r)]), self.run_keys[r]
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            for q in np.flatnonzero(known[at] == keys).tolist():
                 for k, p in grams.get(tuple(doc[q:q + r].tolist()), ()):
                     starts.setdefault(k, set()).add(q - p)
         for k, seeds in starts.items():
@@ -133,6 +130,16 @@ class Items:
                 yield self.items[k][0], best[0], max(best[1], best[2] - m - best[0]), best[2]
 
 
+def run_keys(words) -> np.ndarray:
+    """One key per run from its words' numbers (equal runs, equal keys; hits
+    are looked up exactly)."""
+    key = np.zeros(len(words[0]), np.uint64)
+    with np.errstate(over="ignore"):
+        for w in words:
+            key = key * np.uint64(0x9E3779B97F4A7C15) + w.astype(np.uint64)
+    return key
+
+
 def best_passage(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """Least word edits between the item and any passage, and its end: rows of
     the alignment table, insertions resolved by a running minimum."""
@@ -184,8 +191,9 @@ def _apply(df: DataFrame, block: Items, key: str, text: str, pass_through: bool)
         def search(t):
             if not block.items:
                 return []
-            words = [w for w in words_of(t) if ids[w] != -9]
-            return [*block.find(words, ids)]
+            words = words_of(t)
+            doc = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+            return [*block.find(doc[doc != -9])]
         return search
 
     if pass_through:
