@@ -1,11 +1,11 @@
 """Byte-level BPE encoding and decoding (operator 3).
 
 Text is cut by the vocabulary's split pattern; each piece is merged pair by
-pair.  A piece longer than ``LEAF`` bytes has no inner split: it is encoded by
-*tree concatenation* - halves are encoded on their own, and around each join a
-window of tokens is encoded again, growing until its first and last token are
-the ones both sides already had.  Every neighbouring pair of the result is
-then a pair some correct encoding holds, which fixes the encoding uniquely.
+pair.  A piece longer than ``LEAF`` bytes is encoded by *tree concatenation*:
+halves are encoded on their own, and around each join a window of tokens is
+encoded again, growing until its first and last token are the ones both sides
+already had.  Every neighbouring pair of the result is then a pair some correct
+encoding holds, which fixes the encoding uniquely.
 
 Texts above ``SEGMENT_CHARS`` are cut into segments that separate tasks
 encode; a second step joins the segments of a text in the same way.
@@ -16,11 +16,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -30,9 +29,9 @@ from pyspark.sql.types import StructType
 
 from gradeflow.llm.common import rows
 
-LEAF = 96
+LEAF = 96              # bytes merged in one go; longer pieces are concatenated
 SEGMENT_CHARS = 1 << 20
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 600_000
 KEEP_CHARS = 64
 
 #: The split pattern of byte-level vocabularies (fixed value).
@@ -70,7 +69,7 @@ class BoundedCache(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-            if isinstance(key, str) and len(key) > KEEP_CHARS:
+            if len(key) > KEEP_CHARS:
                 return value
         if len(self) >= self.entries:
             self.old = dict(self)
@@ -79,6 +78,14 @@ class BoundedCache(dict):
         return value
 
 
+def pack(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
+def unpack(data: bytes) -> list[int]:
+    return memoryview(data).cast("I").tolist()
+
+
 def pieces(text: str) -> list[str]:
     return _SPLIT.findall(text)
 
@@ -89,6 +96,13 @@ def spaced_words(text: str) -> list[str] | None:
     return None if _UNEVEN.search(text) else text.split(" ")
 
 
+def letters_and_marks(word: str) -> tuple[str | None, str]:
+    """A word of letters and then plain marks is two pieces; None for others,
+    which need the pattern."""
+    core = word.rstrip(_MARKS)
+    return (core, word[len(core):]) if core.isalpha() else (None, "")
+
+
 class ByteBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -110,7 +124,8 @@ class ByteBpe:
         self._added = regex.compile("|".join(
             regex.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.id_text = {i: str(i) for i in self.token_bytes}
-        self.words = BoundedCache(lambda p: self.encode_piece(p.encode()))
+        # caches of pieces hold ids as packed bytes: a few dozen bytes an entry
+        self.words = BoundedCache(lambda p: pack(self.encode_piece(p.encode())))
         self.units = BoundedCache(self._unit)
 
     # -- merging ----------------------------------------------------------
@@ -182,19 +197,15 @@ class ByteBpe:
         return parts[0] if parts else []
 
     # -- texts --------------------------------------------------------------
-    def _unit(self, word: str) -> list[int]:
-        """Ids of a word with the blank before it.  Letters and then plain
-        punctuation are two pieces; only other words need the pattern."""
-        core = word.rstrip(_MARKS)
-        if core.isalpha():
-            if len(core) == len(word):
-                return self.words[" " + word]
-            return self.words[" " + core] + self.words[word[len(core):]]
-        return self._pieces(" " + word)
-
-    def _pieces(self, text: str) -> list[int]:
-        found = pieces(text)
-        return self.words[found[0]] if len(found) == 1 else [*chain.from_iterable(map(self.words.__getitem__, found))]
+    def _unit(self, word: str) -> bytes:
+        """Ids of a word with the blank before it."""
+        core, tail = letters_and_marks(word)
+        if core is None:
+            return self._pieces(" " + word)
+        return self.words[" " + core] + self.words[tail] if tail else self.words[" " + core]
+
+    def _pieces(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, pieces(text)))
 
     def split_added(self, text: str) -> Iterator[tuple[str, int | None]]:
         """(plain text, None) and (added token, id) in order."""
@@ -209,17 +220,16 @@ class ByteBpe:
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text; null and the empty text have none."""
-        out: list[int] = []
+        out: list[bytes] = []
         for part, added in self.split_added(text or ""):
             if added is not None:
-                out.append(added)
+                out.append(pack([added]))
             elif (words := spaced_words(part)) is None:
-                out += self._pieces(part)
+                out.append(self._pieces(part))
             else:
-                if words[0]:
-                    out += self._pieces(words[0])
-                out += chain.from_iterable(map(self.units.__getitem__, words[1:]))
-        return out
+                out.append(self._pieces(words[0]))
+                out.append(b"".join(map(self.units.__getitem__, words[1:])))
+        return unpack(b"".join(out))
 
     def to_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, ids))
@@ -323,8 +333,8 @@ def encode_frame(df: DataFrame, path: str, emit: Emit, out_schema: str, key: str
                 elif added:
                     got = [bpe.added[json.loads(data)[0]]]
                 else:
-                    got = [*chain.from_iterable(map(bpe.words.__getitem__, json.loads(data)))]
-                ids.append(np.array(got, "<u4").tobytes())
+                    got = unpack(b"".join(map(bpe.words.__getitem__, json.loads(data))))
+                ids.append(pack(got))
             yield pa.RecordBatch.from_pydict({
                 "key": b.column("key"), "uid": b.column("uid"), "seq": b.column("seq"),
                 "piece": b.column("piece"), "ids": ids})
@@ -333,7 +343,7 @@ def encode_frame(df: DataFrame, path: str, emit: Emit, out_schema: str, key: str
         bpe = load(path)
         t = t.sort_by("seq")
         out, at = [], 0
-        ids = [np.frombuffer(x, "<u4").tolist() for x in t["ids"].to_pylist()]
+        ids = [unpack(x) for x in t["ids"].to_pylist()]
         piece = t["piece"].to_pylist()
         while at < len(ids):
             end = at

@@ -20,16 +20,16 @@ import io
 import os
 import uuid
 import zlib
+from array import array
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeflow.llm.bpe import CACHE_ENTRIES, byte_alphabet, pieces, spaced_words
+from gradeflow.llm.bpe import BoundedCache, byte_alphabet, letters_and_marks, pieces, spaced_words
 from gradeflow.llm.common import mix64, open_fs, spread, write_scratch
 
 END_ID = 0
@@ -38,8 +38,9 @@ GAMMA = 2.0
 
 
 class LibraryEncoder:
-    """Ids from the tokenizers library, one call of its model per distinct
-    piece and batch.  Texts that hold an added token go to the library whole."""
+    """Ids from the tokenizers library: its model encodes each distinct piece,
+    words are put together from cached pieces.  Texts that hold an added token
+    go to the library whole."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -47,42 +48,41 @@ class LibraryEncoder:
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.model = self.lib.model
         self.width = 2 if self.lib.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self.code = "H" if self.width == 2 else "I"
         self.letters = {b: ord(c) for b, c in byte_alphabet().items()}
+        self.blank = chr(self.letters[32])
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
+        self.tokenize = self.lib.model.tokenize
+        self.words = BoundedCache(self._piece)
+        self.units = BoundedCache(self._unit)
 
     def pack(self, ids) -> bytes:
-        return np.array(ids, f"<u{self.width}").tobytes()
-
-    def piece(self, p: str) -> bytes:
-        got = self.words.get(p)
-        if got is None:
-            got = self.pack([t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.letters))])
-            if len(p) <= 64:
-                if len(self.words) >= CACHE_ENTRIES:
-                    self.words.clear()
-                self.words[p] = got
-        return got
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        split = [None if any(a in t for a in self.added) else spaced_words(t) for t in texts]
-        new = set(chain.from_iterable(s[1:] for s in split if s)).difference(self.units)
-        if len(self.units) + len(new) > 2 * CACHE_ENTRIES:
-            self.units.clear()
-            new = set(chain.from_iterable(s[1:] for s in split if s))
-        self.units.update((w, b"".join(map(self.piece, pieces(" " + w)))) for w in new)
-        out = []
-        for t, s in zip(texts, split):
-            if s is not None:
-                out.append(b"".join(map(self.piece, pieces(s[0]))) + b"".join(map(self.units.__getitem__, s[1:])))
-            elif any(a in t for a in self.added):
-                out.append(self.pack(self.lib.encode(t, add_special_tokens=False).ids))
-            else:
-                out.append(b"".join(map(self.piece, pieces(t))))
-        return out
+        return array(self.code, ids).tobytes()
+
+    def _piece(self, p: str) -> bytes:
+        if p.isascii() and p.isprintable():  # of these, only the blank is written otherwise
+            shown = p.replace(" ", self.blank)
+        else:
+            shown = p.encode().decode("latin-1").translate(self.letters)
+        return self.pack([t.id for t in self.tokenize(shown)])
+
+    def _unit(self, word: str) -> bytes:
+        core, tail = letters_and_marks(word)
+        if core is None:
+            return self._pieces(" " + word)
+        return self.words[" " + core] + self.words[tail] if tail else self.words[" " + core]
+
+    def _pieces(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, pieces(text)))
+
+    def encode(self, text: str) -> bytes:
+        if any(a in text for a in self.added):
+            return self.pack(self.lib.encode(text, add_special_tokens=False).ids)
+        words = spaced_words(text)
+        if words is None:
+            return self._pieces(text)
+        return self._pieces(words[0]) + b"".join(map(self.units.__getitem__, words[1:]))
 
 
 @lru_cache(maxsize=2)
@@ -194,8 +194,8 @@ def write_shards(df: DataFrame, path: str, folder: str, key: str = "doc_id", tex
                 tmp = f"{name}.{uuid.uuid4().hex}.tmp"
                 out = fs.open_output_stream(tmp)
             counts = []
-            for data in enc.encode_all(b.column("text").to_pylist()):
-                data += enc.pack([END_ID])
+            for text in b.column("text").to_pylist():
+                data = enc.encode(text) + enc.pack([END_ID])
                 out.write(data)
                 counts.append(len(data) // enc.width)
             first = pos + np.cumsum([0, *counts[:-1]])
