@@ -11,18 +11,20 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import (FMClassifier, GBTClassifier, LinearSVC, LogisticRegression,
                                        OneVsRest, RandomForestClassifier, DecisionTreeClassifier)
 from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (DecisionTreeRegressor, FMRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from gradeflow.operators.stats import apply_scale, impute, scale_params
+from gradeflow.functions.scalars import clip
+from gradeflow.operators.ids import build_idmap
+from gradeflow.operators.prep import null_safe_join
+from gradeflow.operators.stats import apply_scale, impute, impute_values, scale_params
 from gradeflow.session import cut_lineage
 
 FEATURES = ["chrs", "lterm_gpa", "lterm_cum_gpa", "total_chrs", "term_chrs", "num_enrolled",
@@ -73,29 +75,43 @@ def sgd_linear(reg: float = 0.01, elastic_net: float = 1.0, loss: str = "squared
     return _regress(LinearRegression(regParam=reg, elasticNetParam=elastic_net, loss=loss, maxIter=100))
 
 
-def eps_insensitive(eps: float = 0.1, c: float = 1.0, lr: float = 0.1, iters: int = 30,
-                    features=FEATURES):
-    """Linear epsilon-insensitive regression (linear SVR) by subgradient descent:
-    each step is ONE distributed aggregate of the subgradient; lineage is cut
-    with a reliable checkpoint of the (persisted) training rows only."""
+def eps_insensitive(eps: float = 0.1, c: float = 1.0, lr: float = 0.5, tol: float = 1e-3, patience: int = 5,
+                    max_iter: int = 500, features=FEATURES):
+    """Linear epsilon-insensitive regression (linear SVR) by subgradient descent
+    from the median (the best constant); each step is ONE distributed aggregate
+    of objective and subgradient over the checkpointed training rows.
+
+    The best iterate is kept.  The search ends when ``patience`` steps bring no
+    gain of ``tol`` times the objective; running into ``max_iter`` raises."""
     features = list(features)
 
     def method(train, test):
         tr, te = prepare(train, test, features)
-        x = tr.select(F.col("grdpts").cast("double").alias("y"), vector_to_array("features").alias("x"))
-        x = cut_lineage(x)
+        x = cut_lineage(tr.select(F.col("grdpts").cast("double").alias("y"), vector_to_array("features").alias("x")))
         n = x.count()
-        w, b = [0.0] * len(features), 0.0
-        for it in range(iters):
+        w, b = [0.0] * len(features), float(impute_values(x, ["y"], "median")["y"])
+        best, best_at, stale = math.inf, (w, b), 0
+        for it in range(max_iter):
             wl = F.array(*[F.lit(v) for v in w])
             margin = F.col("y") - (F.aggregate(F.zip_with("x", wl, lambda a, c_: a * c_), F.lit(0.0),
                                                lambda acc, v: acc + v) + F.lit(b))
             g = F.when(margin > eps, -1.0).when(margin < -eps, 1.0).otherwise(0.0)
-            aggs = [F.sum(g * F.col("x")[j]).alias(f"g{j}") for j in range(len(features))]
-            row = x.agg(F.sum(g).alias("gb"), *aggs).first()
+            loss = F.avg(F.greatest(F.abs(margin) - F.lit(eps), F.lit(0.0))).alias("loss")
+            row = x.agg(loss, F.avg(g).alias("gb"), *[F.avg(g * F.col("x")[j]).alias(f"g{j}") for j in range(len(features))]).first()
+            now = row["loss"] + sum(v * v for v in w) / (2 * c * n)
+            if not math.isfinite(now):
+                raise FloatingPointError(f"epsilon-insensitive regression diverged: objective {now}")
+            stale = 0 if now < best * (1 - tol) or not math.isfinite(best) else stale + 1
+            if now < best:
+                best, best_at = now, (w, b)
+            if stale >= patience or now == 0:
+                break
             step = lr / math.sqrt(it + 1)
-            w = [wj - step * (wj / (c * n) + row[f"g{j}"] / n) for j, wj in enumerate(w)]
-            b = b - step * row["gb"] / n
+            w = [wj - step * (wj / (c * n) + row[f"g{j}"]) for j, wj in enumerate(w)]
+            b = b - step * row["gb"]
+        else:
+            raise RuntimeError(f"epsilon-insensitive regression did not settle in {max_iter} steps")
+        w, b = best_at
         wl = F.array(*[F.lit(v) for v in w])
         pred = F.aggregate(F.zip_with(vector_to_array("features"), wl, lambda a, c_: a * c_),
                            F.lit(0.0), lambda acc, v: acc + v) + F.lit(b)
@@ -161,20 +177,20 @@ def adaboost_r2(n_estimators: int = 5, max_depth: int = 3, seed: int = 42):
 # -- classifiers (label column: integer class) -------------------------------
 
 def balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
+    """Adds ``_w``: the smallest class count over the row's own."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
-    # one row per class
-    w = counts.select(label, (F.min("_c").over(W.partitionBy()) / F.col("_c")).alias("_w"))
-    return df.join(F.broadcast(w), label)
+    least = counts.agg(F.min("_c")).first()[0]
+    return df.join(counts.select(label, (F.lit(least) / F.col("_c")).alias("_w")), label)
 
 
 def classify(estimator, label: str = "label", weighted: bool = True, scale: bool = True, proba: bool = True):
     def method(train, test):
         tr, te = prepare(train, test, scale=scale)
+        est = estimator.copy().setLabelCol(label).setFeaturesCol("features").setPredictionCol("prediction")
         if weighted:
             tr = balanced_weights(tr, label)
-            if estimator.hasParam("weightCol"):
-                estimator.setWeightCol("_w")
-        est = estimator.copy().setLabelCol(label).setFeaturesCol("features").setPredictionCol("prediction")
+            if est.hasParam("weightCol"):
+                est = est.setWeightCol("_w")
         out = est.fit(tr).transform(te)
         if proba and "probability" in out.columns:
             out = out.withColumn("p1", vector_to_array("probability")[1])
@@ -280,33 +296,43 @@ def stacked_cls(seed: int = 42):
 
 
 def fm_regress(dim: int = 8, fit_linear: bool = True, fit_intercept: bool = True, init_std: float = 0.1,
-               max_iter: int = 50, reg: float = 0.01, step: float = 0.01, seed: int = 42):
-    """Factorization machine over one-hot user / item plus the real features."""
+               max_iter: int = 200, reg: float = 0.01, step: float = 0.05, tol: float = 1e-5, seed: int = 42,
+               bounds=(0.0, 4.0)):
+    """Factorization machine over one-hot user / item plus the real features,
+    fitted to the ratings less their mean and bounded like other predictors."""
     def method(train, test):
-        return _fm(train, test, FMRegressor(factorSize=dim, fitLinear=fit_linear, fitIntercept=fit_intercept,
-                                            initStd=init_std, maxIter=max_iter, regParam=reg, stepSize=step,
-                                            seed=seed, solver="adamW"), "grdpts")
+        mu = train.agg(F.avg("grdpts")).first()[0]
+        est = FMRegressor(factorSize=dim, fitLinear=fit_linear, fitIntercept=fit_intercept, initStd=init_std,
+                          maxIter=max_iter, regParam=reg, stepSize=step, tol=tol, seed=seed, solver="adamW")
+        out = _fm(train.withColumn("_y", F.col("grdpts") - F.lit(mu)), test, est, "_y", "pred")
+        return out.withColumn("pred", clip(F.col("pred") + F.lit(mu), *bounds))
     return method
 
 
-def fm_classify(dim: int = 8, max_iter: int = 50, seed: int = 42):
+def fm_classify(dim: int = 8, max_iter: int = 100, step: float = 0.05, seed: int = 42):
     def method(train, test):
-        out = _fm(train, test, FMClassifier(factorSize=dim, maxIter=max_iter, seed=seed, solver="adamW"), "label")
+        est = FMClassifier(factorSize=dim, maxIter=max_iter, stepSize=step, seed=seed, solver="adamW")
+        out = _fm(train, test, est, "label", "prediction")
         return out.withColumn("p1", vector_to_array("probability")[1]).drop("probability", "rawPrediction")
     return method
 
 
-def _fm(train, test, est, label):
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+def _fm(train, test, est, label, pred):
+    """Ids come from distributed id maps over train and test; no label list
+    reaches the driver."""
     tr, te = prepare(train, test)
-    si = StringIndexer(inputCols=["sid", "cid"], outputCols=["_si", "_ci"], handleInvalid="keep")
+    both = tr.select("sid", "cid").unionByName(te.select("sid", "cid"))
+    users, items = build_idmap(both, ["sid"], "_si"), build_idmap(both, ["cid"], "_ci")
+
+    def ids(d):
+        d = null_safe_join(null_safe_join(d, users, ["sid"]), items, ["cid"])
+        return d.withColumns({"_si": F.col("_si").cast("double"), "_ci": F.col("_ci").cast("double")})
+
     oh = OneHotEncoder(inputCols=["_si", "_ci"], outputCols=["_so", "_co"], dropLast=False, handleInvalid="keep")
     va = VectorAssembler(inputCols=["_so", "_co", "features"], outputCol="_fm")
-    both = tr.select("sid", "cid").unionByName(te.select("sid", "cid"))  # indices fitted on train ∪ test
-    enc = Pipeline(stages=[si, oh]).fit(both)
-    est = est.setFeaturesCol("_fm").setLabelCol(label).setPredictionCol(
-        "pred" if label == "grdpts" else "prediction")
-    model = est.fit(va.transform(enc.transform(tr)))
+    tr, te = ids(tr), ids(te)
+    enc = oh.fit(tr.select("_si", "_ci").unionByName(te.select("_si", "_ci")))
+    model = est.setFeaturesCol("_fm").setLabelCol(label).setPredictionCol(pred).fit(va.transform(enc.transform(tr)))
     out = model.transform(va.transform(enc.transform(te)))
     return out.drop("features", "_si", "_ci", "_so", "_co", "_fm")
 

@@ -119,7 +119,7 @@ def q_approx(fx):
 
 @register("mf_als")
 def q_als(fx):
-    return RO.holdout_eval(fx.ratings, MF.mf_als(rank=8, reg=0.1, max_iter=10), T).select(*OUT)
+    return RO.holdout_eval(fx.ratings, MF.mf_als(rank=8), T).select(*OUT)
 
 
 @register("mf_biased")
@@ -129,7 +129,7 @@ def q_biased(fx):
 
 @register("mf_batch_gd")
 def q_gd(fx):
-    return RO.holdout_eval(fx.ratings, MF.mf_gd(dim=5, max_iter=12), T).select(*OUT)
+    return RO.holdout_eval(fx.ratings, MF.mf_gd(dim=5), T).select(*OUT)
 
 
 @register("pred_svd")
@@ -162,12 +162,12 @@ def q_lookup(fx):
 
 @register("fm_regress")
 def q_fm(fx):
-    return _holdout(fx, ML.fm_regress(dim=4, max_iter=30))
+    return _holdout(fx, ML.fm_regress(dim=4, max_iter=60))
 
 
 @register("fm_classify")
 def q_fm_cls(fx):
-    return _cls(fx, ML.fm_classify(dim=4, max_iter=30))
+    return _cls(fx, ML.fm_classify(dim=4, max_iter=40))
 
 
 # -- regression ----------------------------------------------------------------
@@ -189,7 +189,7 @@ def q_l1(fx):
 
 @register("reg_eps_insensitive")
 def q_eps(fx):
-    return _holdout(fx, ML.eps_insensitive(iters=15))
+    return _holdout(fx, ML.eps_insensitive())
 
 
 @register("reg_tree")
