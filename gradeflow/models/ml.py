@@ -53,11 +53,11 @@ def _regress(estimator, features=FEATURES, target="grdpts", scale=True):
     return method
 
 
-def linear(l2: float = 0.0, n_hint: int | None = None, label_std: float | None = None):
+def linear(l2: float = 0.0, features: Sequence[str] = FEATURES, scale: bool = True):
     """OLS / ridge.  Spark's regParam is scaled: alpha / n * stddev_pop(label)
     reproduces ``SSE + alpha * ||w||^2`` with the normal-equation solver."""
     def method(train, test):
-        tr, te = prepare(train, test)
+        tr, te = prepare(train, test, features, scale)
         reg = 0.0
         if l2:
             n, sd = tr.agg(F.count(F.lit(1)), F.stddev_pop("grdpts")).first()

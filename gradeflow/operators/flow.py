@@ -139,6 +139,16 @@ def flow_matrix(edge_rows: DataFrame, nodes: Sequence[str]) -> DataFrame:
     return allnodes.join(piv, "src", "left").fillna(0.0, subset=nodes)
 
 
+def flow_grid(edge_rows: DataFrame) -> DataFrame:
+    """(src, dst, share) for every pair of nodes, zeros included: the long form
+    of the matrix, built from the node table (statuses and majors, not rows)."""
+    w = edge_rows.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
+    w = w.select("src", "dst", (F.col("weight") / F.sum("weight").over(W.partitionBy())).alias("share"))
+    nodes = w.select("src").union(w.select("dst")).distinct()
+    return (nodes.crossJoin(nodes.select(F.col("src").alias("dst"))).join(w, ["src", "dst"], "left")
+                 .fillna(0.0, subset=["share"]))
+
+
 def pivot_status(labels: DataFrame, terms: Sequence[int], sid: str = "id", term: str = "termbnr") -> DataFrame:
     """Student rows x term columns (explicit value list: no extra job, no pivot limit)."""
     return labels.groupBy(sid).pivot(term, [int(t) for t in terms]).agg(F.first("label"))

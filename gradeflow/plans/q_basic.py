@@ -235,12 +235,18 @@ def q_unindex(fx):
     return ID.unindex(tr.unionByName(te), m, "cid").select("sid", "cid", "termnum")
 
 
-@register("encode_onehot")
+@register("encode_onehot", oracle("""
+SELECT sid, cid, termnum, idx FROM v_ratings r JOIN (
+  SELECT col, value, row_number() OVER (ORDER BY col, value) - 1 AS idx FROM (
+    SELECT DISTINCT 0 AS col, substr(cid, 1, 1) AS value FROM v_ratings
+    UNION ALL SELECT DISTINCT 1, CAST(termnum AS VARCHAR) FROM v_ratings) v) f
+  ON f.col = 0 AND f.value = substr(r.cid, 1, 1) OR f.col = 1 AND f.value = CAST(r.termnum AS VARCHAR)""", "v_ratings"))
 def q_onehot(fx):
+    def with_major(d):
+        return d.withColumn("major", F.substring("cid", 1, 1)).withColumn("term", F.col("termnum").cast("string"))
     tr, te = _split(fx)
-    a, b, _ = ID.one_hot(tr.withColumn("major", F.substring("cid", 1, 1)),
-                         te.withColumn("major", F.substring("cid", 1, 1)), ["major", "termnum"])
-    return a.unionByName(b).select("sid", "cid", "termnum", F.size("onehot").alias("n_active"))
+    a, b, _ = ID.one_hot(with_major(tr), with_major(te), ["major", "term"])
+    return a.unionByName(b).select("sid", "cid", "termnum", F.explode("onehot").alias("idx"))
 
 
 sql_view("v_encoded", ["v_engineered"], f"""

@@ -129,14 +129,15 @@ CROSS JOIN (SELECT DISTINCT src AS node FROM v_edges UNION SELECT DISTINCT dst F
 LEFT JOIN (SELECT src, dst, count(*) AS w FROM v_edges GROUP BY src, dst) e ON e.src = n.node AND e.dst = n2.node""",
     "v_edges"))
 def q_flow_matrix(fx):
-    e = FL.edges(_labels(fx)).cache()
-    nodes = sorted({r[0] for r in e.select("src").union(e.select("dst")).distinct().collect()})
-    m = FL.flow_matrix(e, nodes)
-    # long form for comparison: (src, dst, share)
-    return m.unpivot(["src"], nodes, "dst", "share")
+    return FL.flow_grid(FL.edges(_labels(fx)))
 
 
-@register("status_wide")
+#: The calendar of the test tables, the same at every scale.
+WIDE_TERMS = [y * 100 + s for y in range(1995, 2002) for s in (10, 40, 70)]
+sql_view("v_wide", ["v_gaps"], "SELECT id, " + ", ".join(
+    f"max(CASE WHEN termbnr = {t} THEN label END) AS \"{t}\"" for t in WIDE_TERMS) + " FROM v_gaps GROUP BY id")
+
+
+@register("status_wide", oracle("SELECT * FROM v_wide", "v_wide"))
 def q_wide(fx):
-    cal = FL.term_calendar(fx.students)
-    return FL.pivot_status(_labels(fx), cal)
+    return FL.pivot_status(_labels(fx), WIDE_TERMS)

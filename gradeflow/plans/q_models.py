@@ -14,6 +14,7 @@ from gradeflow.models import mf as MF
 from gradeflow.models import ml as ML
 from gradeflow.operators import features as FT
 from gradeflow.operators import ids as ID
+from gradeflow.plans import q_stats  # noqa: F401 - registers v_eng_train
 from gradeflow.plans import rolling as RO
 from gradeflow.plans.registry import oracle, register, sql_view
 
@@ -177,6 +178,16 @@ def q_lin(fx):
     return _holdout(fx, ML.linear())
 
 
+@register("reg_linear_slope", oracle(f"""
+SELECT sid, cid, termnum, grdpts, a + b * chrs AS pred FROM v_ratings,
+  (SELECT regr_slope(grdpts, chrs) AS b, regr_intercept(grdpts, chrs) AS a FROM v_ratings WHERE termnum < {T}) m
+WHERE termnum >= {T}""", "v_ratings"))
+def q_lin_slope(fx):
+    """The least-squares line on one feature, where SQL has the same."""
+    res = RO.holdout_eval(fx.ratings, ML.linear(features=["chrs"], scale=False), T)
+    return res.select("sid", "cid", "termnum", "grdpts", "pred")
+
+
 @register("reg_ridge")
 def q_ridge(fx):
     return _holdout(fx, ML.linear(l2=10.0))
@@ -256,19 +267,34 @@ def q_importance(fx):
 
 # -- preprocessing / searches needing a model ------------------------------------------
 
-@register("assemble_features")
+def _assembled_sql() -> str:
+    """Cold starts out of the test side, medians and z-scores of the train side."""
+    fill = ", ".join(f"coalesce({c}, (SELECT median({c}) FROM v_eng_train)) AS {c}" for c in ML.FEATURES)
+    z = ", ".join(f"(f.{c} - m.{c}_m) / CASE WHEN m.{c}_s = 0 THEN 1.0e0 ELSE m.{c}_s END AS {c}" for c in ML.FEATURES)
+    stats = ", ".join(f"avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s" for c in ML.FEATURES)
+    pos = ", ".join(f"{{'pos': {i}, 'value': {c}}}" for i, c in enumerate(ML.FEATURES))
+    return f"""
+SELECT sid, cid, termnum, split, e.pos AS pos, e.value AS value FROM (
+  SELECT sid, cid, termnum, split, unnest([{pos}]) AS e FROM (
+    SELECT f.sid, f.cid, f.termnum, f.split, {z} FROM
+      (SELECT sid, cid, termnum, CASE WHEN termnum < {T} THEN 'train' ELSE 'test' END AS split, {fill} FROM v_engineered
+       WHERE termnum < {T} OR (sid IN (SELECT sid FROM v_eng_train) AND cid IN (SELECT cid FROM v_eng_train))) f,
+      (SELECT {stats} FROM (SELECT {fill} FROM v_eng_train) t) m) z) u"""
+
+
+@register("assemble_features", oracle(_assembled_sql(), "v_engineered", "v_eng_train"))
 def q_assemble(fx):
-    """cold-start removal -> index -> impute -> scale -> assemble, on the all-terms split."""
+    """cold-start removal -> index and back -> impute -> scale -> assemble, on the all-terms split."""
     from pyspark.ml.functions import vector_to_array
 
     from gradeflow.operators.prep import remove_cold_start
     e = _eng(fx)
     tr, te = e.where(F.col("termnum") < T), e.where(F.col("termnum") >= T)
     te = remove_cold_start(tr, te)
-    tr, te, _ = ID.index_column(tr, te, "cid", ["ord"])
+    tr, te, m = ID.index_column(tr, te, "cid", ["ord"])
     a, b = ML.prepare(tr, te)
-    out = a.withColumn("split", F.lit("train")).unionByName(b.withColumn("split", F.lit("test")))
-    return out.select("sid", "cid", "termnum", "split", F.size(vector_to_array("features")).alias("n_features"))
+    out = ID.unindex(a.withColumn("split", F.lit("train")).unionByName(b.withColumn("split", F.lit("test"))), m, "cid")
+    return out.select("sid", "cid", "termnum", "split", F.posexplode(vector_to_array("features")).alias("pos", "value"))
 
 
 @register("feature_combinations")
