@@ -208,11 +208,9 @@ def prior_means(df: DataFrame, user: str = "sid", item: str = "cid", value: str
 
 def balance_weights(df: DataFrame, y: str, name: str = "weight") -> DataFrame:
     """Row weight = smallest class count / own class count."""
-    # one row per class label: the window and the broadcast are bounded by
-    # the number of classes
     counts = df.groupBy(y).agg(F.count(F.lit(1)).alias("_cnt"))
-    c = counts.select(y, (F.min("_cnt").over(W.partitionBy()) / F.col("_cnt")).alias(name))
-    return df.join(F.broadcast(c), y, "left")
+    least = counts.agg(F.min("_cnt")).first()[0]
+    return df.join(counts.select(y, (F.lit(least) / F.col("_cnt")).alias(name)), y, "left")
 
 
 def rmse_by_term(df: DataFrame, err: str = "error", term: str = "termnum") -> DataFrame:

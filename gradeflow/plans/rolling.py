@@ -137,7 +137,9 @@ def grid(df: DataFrame, method_for: Callable[..., Method], param_grid: dict, eva
 
 def holdout_eval(df: DataFrame, method: Method, t: int, term: str = "termnum", target: str = "grdpts",
                  keys=("sid", "cid")) -> DataFrame:
-    """One all-terms split: train on term < t, predict every later term."""
+    """One all-terms split: train on term < t, predict every later term.  The
+    input is written once; id maps, fits and scoring read that."""
+    df = written(df, "holdout")
     train, test = df.where(F.col(term) < t), df.where(F.col(term) >= t)
     pred = method(train, test.drop(target).withColumn(target, F.lit(None).cast("double")))
     res = test.join(pred.select(*keys, term, "pred"), [*keys, term], "left")

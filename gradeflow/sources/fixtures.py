@@ -48,8 +48,6 @@ class Fixture:
         j = (li.join(o, li.l_orderkey == o.o_orderkey)
                .join(p, li.l_partkey == p.p_partkey)
                .join(s, li.l_suppkey == s.s_suppkey))
-        month = F.month("o_orderdate")
-        season = F.when(month <= 4, 10).when(month <= 7, 40).otherwise(70)
         q = F.col("l_quantity")
         grade = (F.when(q <= 4, "A+").when(q <= 14, "A").when(q <= 18, "A-")
                   .when(q <= 22, "B+").when(q <= 29, "B").when(q <= 32, "B-")
@@ -60,7 +58,7 @@ class Fixture:
         line7 = F.col("l_linenumber") == 7
         return j.select(
             F.col("o_custkey").alias("id"),
-            (F.year("o_orderdate") * 100 + season).alias("termbnr"),
+            term_of(F.col("o_orderdate")).alias("termbnr"),
             F.col("p_type").alias("disc"),
             F.concat((1 + pk % 4).cast("string"),
                      F.lpad(pk.cast("string"), 6, "0")).alias("cnum"),
@@ -118,8 +116,11 @@ class Fixture:
 
     @cached_property
     def term_map(self) -> DataFrame:
-        """(termbnr, termnum): dense ordinal of the term calendar (few rows)."""
-        return term_ordinals(self.courses.select("termbnr"))
+        """(termbnr, termnum): dense ordinal of the term calendar (few rows),
+        from the order dates that have lines: two columns, no wide join."""
+        lines = self.table("lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+        o = self.table("orders").select("o_orderkey", "o_orderdate").join(lines, "o_orderkey", "left_semi")
+        return term_ordinals(o.select(term_of(F.col("o_orderdate")).alias("termbnr")))
 
     @cached_property
     def ratings(self) -> DataFrame:
@@ -133,6 +134,12 @@ class Fixture:
                              "termnum", "grdpts", F.col("hrs").alias("chrs"), "ord")
 
 
+def term_of(date):
+    """Year and season (10 spring, 40 summer, 70 fall) of a date."""
+    month = F.month(date)
+    return F.year(date) * 100 + F.when(month <= 4, 10).when(month <= 7, 40).otherwise(70)
+
+
 def term_ordinals(terms: DataFrame, col: str = "termbnr") -> DataFrame:
     """Dense 0-based ordinal over the distinct terms.
 
