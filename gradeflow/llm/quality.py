@@ -26,8 +26,9 @@ BINS = 50              # histogram bins per unit of ln(distance): 2 % wide
 #: (0.999999), fixed values.
 CHI_MEDIAN, CHI_LIMIT = 4.351, 35.888
 #: Transformed statistics and the least standard deviation each is given, so
-#: that a statistic that is zero almost everywhere keeps a scale.
-FLOORS = {"x_length": 0.5, "x_word": 0.15, "x_symbols": 0.5, "x_lines": 0.5, "x_repeats": 0.5}
+#: that a statistic that is zero almost everywhere keeps a scale: one repeated
+#: line in a short text is within it.
+FLOORS = {"x_length": 0.5, "x_word": 0.15, "x_symbols": 0.5, "x_lines": 0.7, "x_repeats": 0.7}
 X = tuple(FLOORS)
 P = len(X)
 
