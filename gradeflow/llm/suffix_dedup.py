@@ -139,7 +139,10 @@ def _distinct_texts(src: DataFrame, parts: int) -> DataFrame:
         if held:
             yield out()
 
-    return (src.mapInArrow(run, "rid long, sha binary, doc long, z binary").repartition(parts, "rid")
+    # the filter is there for joins on rid to find it: none adds its own below
+    # the shuffle, which all three uses of this frame then share
+    return (src.mapInArrow(run, "rid long, sha binary, doc long, z binary").where("rid IS NOT NULL")
+            .repartition(parts, "rid")
             .groupBy("rid", "sha").agg(F.min("doc").alias("doc"), F.first("z").alias("z")))
 
 
@@ -446,17 +449,18 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", hot:
     lowest = F.lit(-(1 << 63)).cast("long")
     src = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     texts = _distinct_texts(src.select(F.coalesce("key", lowest).alias("doc"), "t"), parts)
-    anchors = texts.select("rid", "z").mapInArrow(_anchor_rows, "h long, rid long, place long")
+    # tasks take all columns of the texts, so that the shuffle is the same one
+    anchors = texts.mapInArrow(_anchor_rows, "h long, rid long, place long")
     # a gram has one small row per window group here: even one in every text is
     # a small share of all anchors
     twice = anchors.selectExpr("rid", "place", "count(*) OVER (PARTITION BY h) AS n").where("n > 1")
     candidates = twice.groupBy(F.col("rid").alias("c_rid")).agg(
         F.collect_list(F.shiftleft("place", 1) + (F.col("n") > hot).cast("long")).alias("places"))
-    runs = (texts.join(candidates, F.col("rid") == F.col("c_rid")).select("doc", "rid", "z", "places")
+    runs = (texts.join(candidates, F.col("rid") == F.col("c_rid"))
             .mapInArrow(_make_runs(2 * parts), "r int, run binary, done binary"))
     repeats = runs.groupBy("r").applyInArrow(_merge, "rid long, doc long, start long, bits int")
     hits = repeats.groupBy(F.col("rid").alias("h_rid")).agg(F.collect_list(F.struct("doc", "start", "bits")).alias("hits"))
-    firsts = (texts.join(hits, F.col("rid") == F.col("h_rid"), "left").select("doc", "sha", "z", "hits")
+    firsts = (texts.join(hits, F.col("rid") == F.col("h_rid"), "left")
               .mapInArrow(_cut_out, "doc long, sha binary, n_removed long, n_spans long, kept_sha256 string"))
     firsts = firsts.withColumnsRenamed({"doc": "f_doc", "sha": "f_sha"})
     every = src.select("key", F.octet_length("t").cast("long").alias("n_bytes"), F.sha2("t", 256).alias("hex")).groupBy(
