@@ -17,6 +17,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradeflow.llm.common import write_scratch
+
 LABELLED_ROWS = 20_000   # labelled findings the forest is fitted on, at most
 TREES, DEPTH, SEED = 15, 6, 11
 CONTEXT = 48             # characters of neighbourhood on each side
@@ -107,9 +109,12 @@ def labelled_findings(docs: DataFrame, key: str = "doc_id", text: str = "text",
              .when(F.col("c.found").rlike(f"^(?i:{NAMES})") & mixed, 1)
              .when(F.col("c.found").rlike(f"^(?i:{NAMES})") & ~v.rlike("[0-9]"), 0))
     known = found.withColumn("label", label).where("label is not null").withColumn("o", F.xxhash64("c", "p"))
-    w = F.split(F.regexp_replace(F.lower(F.substring("t", 1, 2000)), "[^a-z ]", ""), " +")
-    base = (rows.where("t is not null").withColumn("o", F.xxhash64("k", "t")).orderBy("o").limit(LABELLED_ROWS // 8)
-            .withColumn("w", F.filter(w, lambda x: F.length(x) > 2)).where(F.size("w") >= 8))
+    # the texts with the smallest hashes: their bound first, then their words
+    hashed = rows.where("t is not null").withColumn("o", F.xxhash64("k", "t"))
+    last = hashed.select("o").orderBy("o").limit(LABELLED_ROWS // 8).agg(F.max("o")).first()[0]
+    w = F.filter(F.split(F.regexp_replace(F.lower("t"), "[^a-z ]", ""), " +"), lambda x: F.length(x) > 2)
+    base = (hashed.where(F.col("o") <= F.lit(last).cast("long")).select("p", "o", F.slice(w, 1, 8).alias("w"))
+            .where(F.size("w") >= 8).dropDuplicates(["o"]))
     n = F.pmod("o", F.lit(9000)).cast("string")
 
     def decoy(value: Column, name: Column) -> Column:
@@ -130,8 +135,9 @@ def labelled_findings(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def fit(labelled: DataFrame) -> str | None:
     """SQL over ``x`` (feature array) for the share of trees that say secret;
     None when the findings don't hold both labels (then every candidate stays)."""
-    data = (labelled.select(features(F.col("c"), F.col("p")).alias("x"), F.col("label").cast("double").alias("label"))
-            .orderBy("label", "x").limit(2 * LABELLED_ROWS))
+    data = labelled.select(features(F.col("c"), F.col("p")).alias("x"), F.col("label").cast("double").alias("label"))
+    # the findings are gathered once; their order fixes the forest
+    data = write_scratch(data, "secret-findings").orderBy("label", "x").limit(2 * LABELLED_ROWS)
     classes = [r[0] for r in data.groupBy("label").count().orderBy("label").collect()]
     if len(classes) < 2:
         return None
