@@ -31,7 +31,8 @@ from gradeflow.llm.common import rows
 
 LEAF = 96              # bytes merged in one go; longer pieces are concatenated
 SEGMENT_CHARS = 1 << 20
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 100_000
+PIECE_ENTRIES = 300_000  # of a vocabulary, which stays with its worker
 KEEP_CHARS = 64
 
 #: The split pattern of byte-level vocabularies (fixed value).
@@ -125,8 +126,8 @@ class ByteBpe:
             regex.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.id_text = {i: str(i) for i in self.token_bytes}
         # caches of pieces hold ids as packed bytes: a few dozen bytes an entry
-        self.words = BoundedCache(lambda p: pack(self.encode_piece(p.encode())))
-        self.units = BoundedCache(self._unit)
+        self.words = BoundedCache(lambda p: pack(self.encode_piece(p.encode())), PIECE_ENTRIES)
+        self.units = BoundedCache(self._unit, PIECE_ENTRIES)
 
     # -- merging ----------------------------------------------------------
     def merge(self, data: bytes) -> list[int]:

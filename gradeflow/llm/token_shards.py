@@ -34,6 +34,7 @@ from gradeflow.llm.common import mix64, open_fs, spread, write_scratch
 
 END_ID = 0
 KEYS_PER_INDEX = 50_000
+PIECE_ENTRIES = 600_000
 GAMMA = 2.0
 
 
@@ -54,8 +55,8 @@ class LibraryEncoder:
         self.blank = chr(self.letters[32])
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.tokenize = self.lib.model.tokenize
-        self.words = BoundedCache(self._piece)
-        self.units = BoundedCache(self._unit)
+        self.words = BoundedCache(self._piece, PIECE_ENTRIES)
+        self.units = BoundedCache(self._unit, PIECE_ENTRIES)
 
     def pack(self, ids) -> bytes:
         return array(self.code, ids).tobytes()
