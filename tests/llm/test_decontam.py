@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from helpers import SMALL, docs
 
 from gradeflow.llm import decontam as dc
@@ -104,3 +105,31 @@ def test_odd_tables(spark):
     assert got == [(7, 5), (7, 5), (None, None)]
     assert dc.leaks(df.limit(0), frame(spark, items)).collect() == []
     assert dc.leaks(df, frame(spark, items).limit(0)).collect() == []
+
+
+def edited_by(rnd, words, kind, n):
+    """``n`` edits of a kind at places of their own."""
+    out = [[w] for w in words]
+    for p in rnd.sample(range(len(words)), n):
+        do = rnd.choice(["delete", "insert", "replace"]) if kind == "mixed" else kind
+        out[p] = [] if do == "delete" else [b"new%d" % rnd.randrange(999)] + [words[p]] * (do == "insert")
+    return [w for cell in out for w in cell]
+
+
+@pytest.mark.parametrize("kind", ["delete", "insert", "replace", "mixed"])
+def test_recall_at_the_limit_by_kind_and_length(kind):
+    rnd = random.Random(kind)
+    for m in (1, 4, 5, 15, 29, 41, 50, 59, 120, 200, 400):
+        words = [[b"w%d" % rnd.randrange(20_000) for _ in range(m)] for _ in range(5)]
+        items = dc.Items(list(enumerate(words)))
+        pairs, missed = 400 if m < 100 else 100, 0
+        for n in range(pairs):
+            k = n % 5
+            text = edited_by(rnd, words[k], kind, dc.allowed_edits(m))
+            around = [[b"out%d" % rnd.randrange(999) for _ in range(rnd.randrange(30))] for _ in range(2)]
+            doc = [items.vocab.get(w, -1) for w in around[0] + text + around[1]]
+            found = {i: d for i, d, *_ in items.find(dc.np.array(doc, dc.np.int64))}
+            assert found.get(k, 0) <= dc.allowed_edits(m)
+            missed += k not in found
+        # 0.999: more than three of 400 have a chance of one in a thousand
+        assert missed <= (3 if pairs == 400 else 1), (kind, m, missed)
