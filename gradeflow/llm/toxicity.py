@@ -7,13 +7,17 @@ again by document, where a (word before, word, word after) context counts for
 one document only: copies of a text, and a text that repeats its words, count
 once.  Those that still pass, with odds of ``MIN_ODDS`` at least, form the
 lexicon; a token scores its log-odds less one standard error, so that rare
-ones say less.  All other tokens share one value, slightly negative.
+ones say less.  Its later occurrences in a text score the log-odds of its
+occurrences, less one standard error, where these are lower: a word that clean
+texts repeat says less each time.  All other tokens share one value, slightly
+negative.
 
-*Scoring.*  A linear scan finds every maximal scoring segment of a text; a
-token scores where it first occurs, repeats are like other tokens.
+*Scoring.*  A linear scan finds every maximal scoring segment of a text; every
+occurrence of a token scores.
 Chance segments of clean text follow an extreme-value law: E(S) = K n
-exp(-lambda S); lambda comes from the clean token distribution, K from the
-segments of clean training texts.  The evidence of a text is minus the log of
+exp(-lambda S); lambda comes from the clean token distribution, or from the
+segments of clean training texts where repeats make these longer than single
+draws would, K from their number.  The evidence of a text is minus the log of
 the E-value of its best segment, mapped to a probability by a logistic curve
 fitted to the binned evidence of all training texts.
 """
@@ -57,6 +61,8 @@ class Model:
     k: float = 1.0
     slope: float = 0.0
     bias: float = -20.0
+    #: what an occurrence after the first scores; without an entry, like other tokens
+    repeats: dict[bytes, float] = field(default_factory=dict)
 
     def evidence(self, best: float, n: int) -> float:
         """-ln E of the best segment; none, or one expected by chance, is zero."""
@@ -102,10 +108,13 @@ class Scorer:
     def __call__(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
         words = words_of(text)
         s = np.fromiter(map(self.of.__getitem__, words), np.float64, len(words))
-        first: dict[bytes, int] = {}
-        for i in np.flatnonzero(s != self.model.other).tolist():
-            first.setdefault(token(words[i]), i)
-        at = np.array([*first.values()], np.int64)
+        at = np.flatnonzero(s != self.model.other)
+        seen: set[bytes] = set()
+        for i in at.tolist():
+            w = token(words[i])
+            if w in seen:
+                s[i] = self.model.repeats.get(w, self.model.other)
+            seen.add(w)
         return len(words), segments(at, s[at], len(words), self.model.other)
 
 
@@ -194,16 +203,18 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     first = {bytes(r["w"]): (r["y0"], r["y1"]) for r in picked}
     again = {bytes(r["w"]): (r["y0"], r["y1"]) for r in _document_counts(train, set(first)).collect()} if first else {}
     docs0, docs1 = (float(x or 0) for x in train.agg(F.sum(1 - F.col("y")), F.sum("y")).first())
-    scores, m0, m1 = {}, 0.0, 0.0
+    scores, repeats, m0, m1 = {}, {}, 0.0, 0.0
     for w, (y0, y1) in first.items():
         c0, c1 = again.get(w, (0, 0))
         s, z_ = log_odds(c0, c1, docs0 + 1, docs1 + 1, PRIOR_SHARE * (c0 + c1) + PRIOR_LEAST, PRIOR_SHARE * (docs0 + docs1))
         if z_ >= Z and s >= MIN_ODDS:
             scores[w] = s - s / z_
+            d_, dz = log_odds(y0, y1, n0, n1, max(PRIOR_SHARE * (y0 + y1), PRIOR_LEAST), a0)
+            repeats[w] = min(scores[w], d_ - d_ / dz)
             m0, m1 = m0 + y0, m1 + y1
     # what is left shares one value: its odds, and a small charge per word
     other = min(math.log((n1 - m1 + 1) / (n1 + 1)) - math.log((n0 - m0 + 1) / (n0 + 1)), -0.005)
-    model = Model(scores, other)
+    model = Model(scores, other, repeats=repeats)
     freq = [((first[w][0] + PRIOR_SHARE * sum(first[w])) / (n0 + a0), s) for w, s in scores.items()]
     model.lam = _lambda(freq, other)
     _calibrate(model, train)
@@ -232,26 +243,32 @@ def _calibrate(model: Model, train: DataFrame) -> None:
     def run(batches):
         scorer = Scorer(model)
         for texts, ys in rows(batches, "t", "y"):
-            n, best, count = [], [], []
+            n, best, count, total = [], [], [], []
             for t in texts:
                 words, found = scorer(t)
                 n.append(words)
                 best.append(max((s for *_, s in found), default=0.0))
                 count.append(len(found))
+                total.append(sum(s for *_, s in found))
             yield pa.RecordBatch.from_pydict({"y": pa.array([1 if y == 1 else 0 for y in ys], pa.int32()), "n": pa.array(n, pa.int64()),
-                                              "s": pa.array(best, pa.float64()), "c": pa.array(count, pa.int64())})
+                                              "s": pa.array(best, pa.float64()), "c": pa.array(count, pa.int64()),
+                                              "total": pa.array(total, pa.float64())})
 
-    scored = train.mapInArrow(run, "y int, n long, s double, c long")
+    scored = train.mapInArrow(run, "y int, n long, s double, c long, total double")
     # one table of (class, length, score) bins feeds the law and the curve
     bins = (scored.groupBy("y", F.floor(4 * F.log2(F.greatest("n", F.lit(1)))).alias("nb"), F.round("s", 2).alias("s"))
-            .agg(F.count("*").alias("rows"), F.sum("n").alias("n"), F.sum("c").alias("c"))
+            .agg(F.count("*").alias("rows"), F.sum("n").alias("n"), F.sum("c").alias("c"), F.sum("total").alias("total"))
             .groupBy("y", "nb", F.floor(F.col("s") / BIN).alias("sb"))
-            .agg(F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.sum("c").alias("c")).collect())
+            .agg(F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.sum("c").alias("c"), F.sum("total").alias("total")).collect())
     clean = [r for r in bins if r["y"] == 0]
     # chance segments per clean word at the least score a segment has, carried
     # back to score zero by the law; one is added for those not seen yet
-    least = min((v for v in model.scores.values() if v > 0), default=0.0)
-    chance = sum(r["rows"] for r in clean if r["sb"] > 0)
+    least = min((v for v in [*model.scores.values(), *model.repeats.values()] if v > 0), default=0.0)
+    chance = sum(r["c"] for r in clean)
+    # the mean score beyond the least is 1 / lambda under the law
+    beyond = sum(r["total"] for r in clean) - chance * least
+    if beyond > 0:
+        model.lam = min(model.lam, chance / beyond)
     model.k = (chance + 1) * math.exp(model.lam * least) / max(1.0, sum(r["n"] for r in clean))
     x = np.array([model.evidence((r["sb"] + 0.5) * BIN if r["sb"] > 0 else 0.0, round(2 ** ((r["nb"] + 0.5) / 4)))
                   for r in bins])

@@ -96,3 +96,32 @@ def test_odd_tables(spark):
     assert kept.columns == df.columns
     bad = {r["doc_id"] for r in out.collect() if r["predicted"]}
     assert bad and {r[0] for r in collect(kept, "doc_id")} == {r["doc_id"] for r in out.collect() if not r["predicted"]} | set()
+
+
+def test_every_occurrence_scores(spark):
+    rows = planted()
+    df = docs(spark, [t for _, t, _ in rows], [k for k, _, _ in rows])
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    model = tx.learn(df, labels)
+    rnd = random.Random(3)
+    clean = [t for _, t, y in rows if not y]
+
+    def filler(n):
+        return " ".join(rnd.choices(" ".join(clean[:200]).split(), k=n))
+
+    dense = "GRUBBLE snarkly vexor dreckle " * 3
+    scorer = tx.Scorer(model)
+    # a second passage with the same words is a segment as the first is
+    n, found = scorer(" ".join([filler(3000), dense, filler(3000), dense, filler(3000)]))
+    at = [a for a, b, s in found if s > 5 * max(model.scores.values())]
+    assert at == [3000, 6012]
+    # a passage of one repeated word is more than one hit
+    once, often = (max(s for *_, s in scorer(t)[1]) for t in ("x grubble y", "x grubble grubble grubble grubble y"))
+    assert often > 2.5 * once
+    # words that occurred scattered before do not hide a dense passage
+    scattered = " ".join(filler(2500) + " " + w for w in ("grubble", "snarkly", "vexor", "dreckle"))
+    hidden = docs(spark, [scattered + " " + filler(2500) + " " + dense + filler(2500), filler(10_000)])
+    got = {r["doc_id"]: r["p"] for r in tx.score(hidden, model, out="p").collect()}
+    assert got[0] >= tx.THRESHOLD > got[1]
+    assert set(model.repeats) == set(model.scores) and len(model.scores) >= 4
+    assert all(0 < model.repeats[w] <= model.scores[w] for w in model.scores)
