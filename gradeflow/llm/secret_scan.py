@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from gradeflow.llm.common import write_scratch
 
-LABELLED_ROWS = 20_000   # labelled findings the forest is fitted on, at most
+LABELLED_ROWS = 20_000   # labelled findings of a label the forest is fitted on, at most
 TREES, DEPTH, SEED = 15, 6, 11
 CONTEXT = 48             # characters of neighbourhood on each side
 MASK = "[SECRET]"
@@ -97,8 +97,9 @@ def labelled_findings(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Label 1: provider formats, and secret-like names assigned a value of mixed
     letters and digits.  Label 0: placeholders, values of words, and decoys made
     from the corpus itself - slugs and versioned names of its words - which a
-    scanner of mixed runs would report.  Bounded: the LABELLED_ROWS smallest
-    rows by hash; decoys come from one text in a bounded set each."""
+    scanner of mixed runs would report.  Bounded: of each label the
+    LABELLED_ROWS / 2 smallest by hash, equal findings of a path as one row;
+    decoys come from one text in a bounded set each."""
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"),
                        (F.col(path) if path in docs.columns else F.lit("")).cast("string").alias("p"))
     found = _with_parts(rows, "t").select(F.explode("__cands").alias("c"), "p")
@@ -108,7 +109,9 @@ def labelled_findings(docs: DataFrame, key: str = "doc_id", text: str = "text",
              .when(F.col("c.found").rlike(f"^(?:{PROVIDER})$"), 1)
              .when(F.col("c.found").rlike(f"^(?i:{NAMES})") & mixed, 1)
              .when(F.col("c.found").rlike(f"^(?i:{NAMES})") & ~v.rlike("[0-9]"), 0))
-    known = found.withColumn("label", label).where("label is not null").withColumn("o", F.xxhash64("c", "p"))
+    # copies and shared boilerplate give one row, or they would fill the sample
+    known = (found.withColumn("label", label).where("label is not null").groupBy("c", "p")
+             .agg(F.min("label").alias("label")).withColumn("o", F.xxhash64("c", "p")))
     # the texts with the smallest hashes: their bound first, then their words
     hashed = rows.where("t is not null").withColumn("o", F.xxhash64("k", "t"))
     last = hashed.select("o").orderBy("o").limit(LABELLED_ROWS // 8).agg(F.max("o")).first()[0]
@@ -128,8 +131,11 @@ def labelled_findings(docs: DataFrame, key: str = "doc_id", text: str = "text",
         decoy(F.concat(F.concat_ws("_", F.slice("w", 3, 4)), F.lit("_v"), n), F.element_at("w", 6)),
         decoy(F.concat(F.lit("token="), F.concat_ws("-", F.slice("w", 1, 3))), F.element_at("w", 7)))).alias("c"),
         "p", F.lit(0).alias("label"), "o")
-    kept = known.orderBy("o").limit(LABELLED_ROWS // 2)
-    return kept.select("c", "p", "label").unionByName(decoys.select("c", "p", "label"))
+    known = write_scratch(known, "secret-known")
+    out = decoys.select("c", "p", "label")
+    for y in (0, 1):
+        out = out.unionByName(known.where(F.col("label") == y).orderBy("o").limit(LABELLED_ROWS // 2).select("c", "p", "label"))
+    return out
 
 
 def fit(labelled: DataFrame) -> str | None:

@@ -91,3 +91,14 @@ def test_without_labels_every_candidate_stays(spark):
     df = docs(spark, [f"password={HEX}"])
     assert collect(ss.secrets(df), "n_candidates", "n_secrets") == [(1, 1)]
     assert ss.secrets(df.limit(0)).collect() == []
+
+
+def test_copies_do_not_fill_the_labelled_sample(spark, monkeypatch):
+    monkeypatch.setattr(ss, "LABELLED_ROWS", 40)
+    copies = [f'password = "changeme-sample-{n}a1b2" in the footer that many pages share' for n in range(6)] * 50
+    keys = [f'token = "{hashlib.sha1(str(n).encode()).hexdigest()}" ' + prose(random.Random(n), 9) for n in range(12)]
+    df = docs(spark, copies + keys).withColumn("source", F.lit("s"))
+    got = [(r["c"]["found"], r["label"]) for r in ss.labelled_findings(df).collect()]
+    real = [f for f, y in got if f.startswith('password = ') or y == 1]
+    assert len(real) == len(set(real)) == 18
+    assert sum(y for _, y in got) == 12
