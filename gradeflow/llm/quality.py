@@ -25,10 +25,15 @@ BINS = 50              # histogram bins per unit of ln(distance): 2 % wide
 #: Chi-square quantiles for the five features: the median and the limit
 #: (0.999999), fixed values.
 CHI_MEDIAN, CHI_LIMIT = 4.351, 35.888
+#: One line that occurs twice is ordinary in a text of any length: repetition
+#: is counted beyond one duplicate line, and beyond the words of a ten-word line
+#: and its copy.
+ORDINARY_LINES, ORDINARY_REPEATS = 1, 20
 #: Transformed statistics and the least standard deviation each is given, so
-#: that a statistic that is zero almost everywhere keeps a scale: one repeated
-#: line in a short text is within it.
-FLOORS = {"x_length": 0.5, "x_word": 0.15, "x_symbols": 0.5, "x_lines": 0.7, "x_repeats": 0.7}
+#: that a statistic that is zero almost everywhere keeps a scale.  Where a group
+#: repeats nothing, 10 % of the words repeated beyond the ordinary line reach
+#: the limit on their own, as do 6 duplicate lines in 100 words.
+FLOORS = {"x_length": 0.5, "x_word": 0.15, "x_symbols": 0.5, "x_lines": 0.3, "x_repeats": 0.4}
 X = tuple(FLOORS)
 P = len(X)
 
@@ -74,10 +79,12 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
 
 def transformed(df: DataFrame) -> DataFrame:
     n = F.greatest(F.col("n_words"), F.lit(1))
+    lines = F.greatest(F.col("n_dup_lines") - ORDINARY_LINES, F.lit(0))
+    repeats = F.greatest(F.col("n_repeat_words") - ORDINARY_REPEATS, F.lit(0))
     return df.withColumns({
         "x_length": F.log1p(F.col("n_words").cast("double")), "x_word": F.log1p(F.col("word_chars") / n),
-        "x_symbols": F.log1p(100 * F.col("n_symbols") / n), "x_lines": F.log1p(100 * F.col("n_dup_lines") / n),
-        "x_repeats": F.log1p(100 * F.col("n_repeat_words") / n)})
+        "x_symbols": F.log1p(100 * F.col("n_symbols") / n), "x_lines": F.log1p(100 * lines / n),
+        "x_repeats": F.log1p(100 * repeats / n)})
 
 
 def _factor(est: DataFrame) -> DataFrame:

@@ -104,3 +104,32 @@ def test_few_rows_and_empty_table(spark):
     df = docs(spark, ["w " * 5, " ".join(map(str, range(80))), None])
     assert [(r["doc_id"], r["kept"]) for r in q.quality(df).orderBy("doc_id").collect()] == [(0, False), (1, True), (2, False)]
     assert q.quality(df.limit(0)).collect() == []
+
+
+def test_planted_repetition_goes_and_one_repeated_line_stays(spark):
+    rnd = random.Random(4)
+    words = ["".join(rnd.choices("abcdefghijkl", k=rnd.randint(4, 9))) for _ in range(3000)]
+
+    def lines(n):
+        return [" ".join(rnd.choices(words, k=10)) for _ in range(n)]
+
+    clean = ["\n".join(lines(rnd.randint(6, 60))) for _ in range(400)]
+    kinds = {"clean": clean, "one line": [], "lines": [], "phrases": []}
+    for n in (100, 200, 400, 800) * 5:
+        x, own = lines(n // 10), rnd.choice(lines(1))
+        kinds["one line"].append("\n".join([x[-1], *x[1:]]))
+        # 30 % of the words in copies of one line, between lines of their own
+        copies = [own] * (3 * n // 100)
+        mixed = copies + x[:n // 10 - len(copies)]
+        rnd.shuffle(mixed)
+        kinds["lines"].append("\n".join(mixed))
+        # 40 % of the words in copies of a phrase of four words, all on one line
+        parts = [own.split()[:4]] * (n // 10) + [ws.split()[:6] for ws in x]
+        rnd.shuffle(parts)
+        kinds["phrases"].append(" ".join(w for part in parts for w in part))
+    rows = [(f"{kind} {k}", t, "en", "s") for kind, ts in kinds.items() for k, t in enumerate(ts)]
+    got = q.quality(spark.createDataFrame(rows, "doc_id string, text string, lang string, source string")).collect()
+    assert not any(r["base_failed"] for r in got)
+    kept = {kind: [r["kept"] for r in got if r["doc_id"].startswith(kind + " ")] for kind in kinds}
+    assert sum(kept["clean"]) >= 398 and all(kept["one line"])
+    assert not any(kept["lines"]) and not any(kept["phrases"])
