@@ -1,5 +1,8 @@
 """Models on planted data: they must beat mean-of-means, or the plain answer."""
 
+import warnings
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -101,3 +104,23 @@ def test_classifier_leaves_the_estimator_alone(spark):
     out = ML.classify(est)(*lab)
     assert not est.isSet("weightCol") and not est.isSet("labelCol")
     assert out.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0] > 0.9
+
+
+def test_registered_svd_settles_on_noise(spark):
+    from gradeflow.plans import registry
+    registry.load_all()
+    from gradeflow.plans import q_models
+    rng = np.random.default_rng(4)
+    rows = [(u, f"c{i:02d}", 0 if k else 12, float(rng.uniform(0, 4))) for u in range(70)
+            for k, i in enumerate(rng.choice(45, 13, replace=False))]
+    df = spark.createDataFrame(rows, "sid long, cid string, termnum long, grdpts double")
+    data = {(u, c): y for u, c, t, y in rows if not t}
+    users, items = sorted({k[0] for k in data}), sorted({k[1] for k in data})
+    fill = np.mean([np.mean([v for (_, i), v in data.items() if i == c]) for c in items])
+    u, s, vt = np.linalg.svd(np.array([[data.get((a, c), fill) for c in items] for a in users]), full_matrices=False)
+    want = (u[:, :5] * s[:5]) @ vt[:5]
+    with warnings.catch_warnings():
+        warnings.filterwarnings("error", message="singular values")
+        got = q_models.q_lookup(SimpleNamespace(ratings=df)).collect()
+    assert len(got) == 70
+    assert max(abs(r["cell"] - want[users.index(r["sid"]), items.index(r["cid"])]) for r in got) < 1e-4
