@@ -11,6 +11,7 @@ part of the same projection: no Python worker, no explode, no shuffle of texts.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
@@ -140,13 +141,19 @@ def labelled_findings(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 def fit(labelled: DataFrame) -> str | None:
     """SQL over ``x`` (feature array) for the share of trees that say secret;
-    None when the findings don't hold both labels (then every candidate stays)."""
-    data = labelled.select(features(F.col("c"), F.col("p")).alias("x"), F.col("label").cast("double").alias("label"))
+    None when the findings don't hold both labels (then every candidate stays).
+    Equal findings of a path and label count once; of each label the
+    LABELLED_ROWS smallest by hash are used."""
+    data = labelled.dropDuplicates(["c", "p", "label"]).select(
+        features(F.col("c"), F.col("p")).alias("x"), F.col("label").cast("double").alias("label"),
+        F.xxhash64("c", "p").alias("o"))
     # the findings are gathered once; their order fixes the forest
-    data = write_scratch(data, "secret-findings").orderBy("label", "x").limit(2 * LABELLED_ROWS)
+    data = write_scratch(data, "secret-findings")
     classes = [r[0] for r in data.groupBy("label").count().orderBy("label").collect()]
     if len(classes) < 2:
         return None
+    parts = [data.where(F.col("label") == y).orderBy("o", "x").limit(LABELLED_ROWS).select("x", "label") for y in classes]
+    data = reduce(DataFrame.unionByName, parts).orderBy("label", "x")
     model = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH,
                                    seed=SEED, featureSubsetStrategy="sqrt").fit(
         data.withColumn("features", array_to_vector("x")))

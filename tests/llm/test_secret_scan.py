@@ -102,3 +102,11 @@ def test_copies_do_not_fill_the_labelled_sample(spark, monkeypatch):
     real = [f for f, y in got if f.startswith('password = ') or y == 1]
     assert len(real) == len(set(real)) == 18
     assert sum(y for _, y in got) == 12
+
+
+def test_many_rows_of_a_label_leave_the_other(spark, monkeypatch):
+    labelled = ss.labelled_findings(docs(spark, corpus()))
+    zeros = labelled.where("label = 0").count()
+    assert labelled.where("label = 1").count() > 0
+    monkeypatch.setattr(ss, "LABELLED_ROWS", zeros // 2)
+    assert ss.fit(labelled) is not None
