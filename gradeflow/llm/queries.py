@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeflow.llm import (bpe, decontam, lm, prefix_trie, quality, repair, secret_scan, simhash, suffix_dedup,
+from gradeflow.llm import (bpe, decontam, html_text, lm, prefix_trie, quality, repair, secret_scan, simhash, suffix_dedup,
                            token_shards, toxicity, warc)
 from gradeflow.llm.common import shared_folder, table
 
@@ -59,6 +59,10 @@ def op10_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.revisits_of_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.damaged_and_repaired(table(spark, sf_dir, "conversations"))
 
@@ -69,7 +73,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_suffix_dedup, op2_token_shards, op3_bpe, op4_simhash, op5_quality, op6_lm, op7_secrets, op8_toxicity,
-    op9_decontaminate, op10_revisits, op12_repair, op13_prefix_trie)}
+    op9_decontaminate, op10_revisits, op11_html_text, op12_repair, op13_prefix_trie)}
 
 _CANONICAL = r"""
 regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), ':(80|443)$', ''), '^(www|m)\.', '')
