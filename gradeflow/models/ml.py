@@ -11,19 +11,22 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.classification import (FMClassifier, GBTClassifier, LinearSVC, LogisticRegression,
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        OneVsRest, RandomForestClassifier, DecisionTreeClassifier)
 from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import (DecisionTreeRegressor, FMRegressor, GBTRegressor, LinearRegression,
+from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from gradeflow.functions.arrays import matrix
 from gradeflow.functions.scalars import clip
-from gradeflow.operators.ids import build_idmap
-from gradeflow.operators.prep import null_safe_join
+from gradeflow.models import extra_trees, fm
+from gradeflow.operators.knn import nearest
 from gradeflow.operators.stats import apply_scale, impute, impute_values, scale_params
 from gradeflow.session import cut_lineage
 
@@ -75,46 +78,91 @@ def sgd_linear(reg: float = 0.01, elastic_net: float = 1.0, loss: str = "squared
     return _regress(LinearRegression(regParam=reg, elasticNetParam=elastic_net, loss=loss, maxIter=100))
 
 
-def eps_insensitive(eps: float = 0.1, c: float = 1.0, lr: float = 0.5, tol: float = 1e-3, patience: int = 5,
-                    max_iter: int = 500, features=FEATURES):
-    """Linear epsilon-insensitive regression (linear SVR) by subgradient descent
-    from the median (the best constant); each step is ONE distributed aggregate
-    of objective and subgradient over the checkpointed training rows.
+STEPS = (1.0, 0.5, 0.2, 0.05, 0.01)  # lengths tried along one direction, all in one pass
 
-    The best iterate is kept.  The search ends when ``patience`` steps bring no
-    gain of ``tol`` times the objective; running into ``max_iter`` raises."""
+
+def eps_insensitive(eps: float = 0.1, c: float = 1.0, tol: float = 1e-6, max_jobs: int = 60, features=FEATURES, report: dict | None = None):
+    """Linear epsilon-insensitive regression (linear SVR): mean of ``max(|y - wx - b| - eps, 0)`` plus ``|w|^2 / (2 c n)``.
+
+    L-BFGS on a loss whose kink is rounded over a width that shrinks step by step; an iteration is ONE pass
+    over the rows, which takes losses and gradients at several step lengths at once.  Starts from the median.
+    Raises if the last width has not settled to ``tol`` of the objective in ``max_jobs`` passes."""
     features = list(features)
 
     def method(train, test):
         tr, te = prepare(train, test, features)
-        x = cut_lineage(tr.select(F.col("grdpts").cast("double").alias("y"), vector_to_array("features").alias("x")))
-        n = x.count()
-        w, b = [0.0] * len(features), float(impute_values(x, ["y"], "median")["y"])
-        best, best_at, stale = math.inf, (w, b), 0
-        for it in range(max_iter):
-            wl = F.array(*[F.lit(v) for v in w])
-            margin = F.col("y") - (F.aggregate(F.zip_with("x", wl, lambda a, c_: a * c_), F.lit(0.0),
-                                               lambda acc, v: acc + v) + F.lit(b))
-            g = F.when(margin > eps, -1.0).when(margin < -eps, 1.0).otherwise(0.0)
-            loss = F.avg(F.greatest(F.abs(margin) - F.lit(eps), F.lit(0.0))).alias("loss")
-            row = x.agg(loss, F.avg(g).alias("gb"), *[F.avg(g * F.col("x")[j]).alias(f"g{j}") for j in range(len(features))]).first()
-            now = row["loss"] + sum(v * v for v in w) / (2 * c * n)
-            if not math.isfinite(now):
-                raise FloatingPointError(f"epsilon-insensitive regression diverged: objective {now}")
-            stale = 0 if now < best * (1 - tol) or not math.isfinite(best) else stale + 1
-            if now < best:
-                best, best_at = now, (w, b)
-            if stale >= patience or now == 0:
-                break
-            step = lr / math.sqrt(it + 1)
-            w = [wj - step * (wj / (c * n) + row[f"g{j}"]) for j, wj in enumerate(w)]
-            b = b - step * row["gb"]
-        else:
-            raise RuntimeError(f"epsilon-insensitive regression did not settle in {max_iter} steps")
-        w, b = best_at
-        wl = F.array(*[F.lit(v) for v in w])
+        x = cut_lineage(tr.select(F.col("grdpts").cast("double").alias("y"), vector_to_array("features").alias("x")).where("y IS NOT NULL"))
+        n, spread = x.agg(F.count(F.lit(1)), F.stddev_pop("y")).first()
+        if not n:
+            raise ValueError("no row to learn from")
+        if not math.isfinite(spread):
+            raise FloatingPointError(f"epsilon-insensitive regression diverged: targets spread {spread}")
+        jobs = 0
+
+        def objective(points: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
+            """Objective and gradient at each row (w, b) of ``points``."""
+            nonlocal jobs
+            jobs += 1
+            k, size = points.shape
+
+            def part(xs, y):
+                out = np.zeros((k, size + 1))
+                for j, p in enumerate(points):
+                    r = y - xs @ p[:-1] - p[-1]
+                    over = np.abs(r) - eps
+                    slope = np.clip(over / width, 0, 1)
+                    g = -np.sign(r) * slope
+                    out[j] = [np.where(over >= width, over - width / 2, slope ** 2 * width / 2).sum(), *(xs.T @ g), g.sum()]
+                return out.ravel()
+
+            def run(batches):
+                total = np.zeros(k * (size + 1))
+                for b in batches:
+                    if b.num_rows:
+                        total += part(matrix(b.column("x")), b.column("y").to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["i", "v"])
+            got = np.zeros(k * (size + 1))
+            for i, v in x.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v")).collect():
+                got[i] = v
+            got = got.reshape(k, size + 1) / n
+            flat = np.hstack([points[:, :-1], np.zeros((k, 1))])
+            return got[:, 0] + (flat ** 2).sum(1) / (2 * c * n), got[:, 1:] + flat / (c * n)
+
+        at = np.array([0.0] * len(features) + [float(impute_values(x, ["y"], "median")["y"])])
+        widths = [max(spread, 1e-6) * f for f in (0.3, 0.03, 0.003)]
+        for width in widths:
+            (now,), (grad,) = objective(at[None], width)
+            past: list[tuple[np.ndarray, np.ndarray]] = []
+            settled = False
+            while jobs < max_jobs and not settled:
+                d, marks = grad.copy(), []
+                for s_, g_ in reversed(past):
+                    marks.append(s_ @ d / (s_ @ g_))
+                    d -= marks[-1] * g_
+                if past:
+                    d *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1])
+                for (s_, g_), m in zip(past, reversed(marks)):
+                    d += (m - g_ @ d / (s_ @ g_)) * s_
+                losses, grads = objective(at - np.outer(STEPS, d), width)
+                if not np.isfinite(losses).any():
+                    raise FloatingPointError(f"epsilon-insensitive regression diverged: objective {losses}")
+                best = int(np.nanargmin(losses))
+                gain = now - losses[best]
+                if gain > 0:
+                    step, turn = -STEPS[best] * d, grads[best] - grad
+                    at, now, grad = at + step, losses[best], grads[best]
+                    past = (past + [(step, turn)])[-8:] if step @ turn > 1e-14 else past
+                elif past:
+                    past = []  # steepest descent from here
+                    continue
+                settled = gain <= tol * now or now <= 0
+        if not settled:
+            raise RuntimeError(f"epsilon-insensitive regression did not settle in {max_jobs} passes")
+        if report is not None:
+            report.update(jobs=jobs, objective=float(now), at=at)
+        wl = F.array(*[F.lit(float(v)) for v in at[:-1]])
         pred = F.aggregate(F.zip_with(vector_to_array("features"), wl, lambda a, c_: a * c_),
-                           F.lit(0.0), lambda acc, v: acc + v) + F.lit(b)
+                           F.lit(0.0), lambda acc, v: acc + v) + F.lit(float(at[-1]))
         return te.withColumn("pred", pred).drop("features")
     return method
 
@@ -198,15 +246,92 @@ def classify(estimator, label: str = "label", weighted: bool = True, scale: bool
     return method
 
 
+def one_class(train: DataFrame, label: str = "label") -> bool:
+    """Whether a train side holds fewer than two classes."""
+    least, most = train.agg(F.min(label), F.max(label)).first()
+    return least == most
+
+
+def several_classes(method, label: str = "label"):
+    """A classifier that skips splits whose train side holds one class (or none): no test row of these
+    is answered, as there is nothing to tell apart."""
+    def checked(train, test):
+        if one_class(train, label):
+            return test.where(F.lit(False)).withColumn("prediction", F.lit(None).cast("double"))
+        return method(train, test)
+    return checked
+
+
+def feature_vector(features: Sequence[str], missing: float = 0.0):
+    """The features as an array; missing ones get a constant."""
+    return F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(float(missing))) for f in features])
+
+
+def neighbours(train: DataFrame, test: DataFrame, k: int, features: Sequence[str], target: str, key: str,
+               report: dict | None = None) -> DataFrame:
+    """(vec, y, distance, rank): the k nearest train rows of each distinct test vector, by (distance, ``key``).
+    Equal test rows share their neighbours, so each vector is looked for once."""
+    base = train.where(F.col(target).isNotNull()).select(F.col(key).alias("bid"), feature_vector(features).alias("vec"),
+                                                         F.col(target).cast("double").alias("y"))
+    queries = test.select(feature_vector(features).alias("vec")).distinct().select(F.col("vec").alias("qid"), "vec")
+    return nearest(queries, base, k, report).withColumnRenamed("qid", "vec")
+
+
+def _votes(weights: str):
+    """A neighbour's weight: 1, or the inverse distance, where neighbours at no distance outweigh all others."""
+    if weights not in ("uniform", "distance"):
+        raise ValueError(f"unknown weights {weights!r}")
+    if weights == "uniform":
+        return F.lit(1.0)
+    exact = F.min("distance").over(W.partitionBy("vec")) == 0  # k rows
+    return F.when(exact, (F.col("distance") == 0).cast("double")).otherwise(1 / F.col("distance"))
+
+
+def knn(k: int = 5, weights: str = "distance", features: Sequence[str] = FEATURES, target: str = "grdpts", key: str = "ord",
+        report: dict | None = None):
+    """k-nearest-neighbour regression: the (weighted) mean of the k nearest train rows' targets.
+
+    Exact, see ``operators.knn``; ``key`` is unique in train and settles ties.  Features are taken as they are, missing
+    ones as 0.  With fewer than k train rows all of them count; without any, ``pred`` is null."""
+    def method(train, test):
+        near = neighbours(train, test, k, features, target, key, report).withColumn("w", _votes(weights))
+        pred = near.groupBy("vec").agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("pred"))
+        return test.withColumn("_vec", feature_vector(features)).join(
+            pred.withColumnRenamed("vec", "_vec"), "_vec", "left").drop("_vec")
+    return method
+
+
+def knn_cls(k: int = 5, weights: str = "distance", features: Sequence[str] = FEATURES, label: str = "label", key: str = "ord",
+            report: dict | None = None):
+    """k-nearest-neighbour classification: the class with most (weighted) votes, ties to the smaller class; a
+    train side with one class answers nothing."""
+    def method(train, test):
+        near = neighbours(train, test, k, features, label, key, report).withColumn("w", _votes(weights))
+        votes = near.groupBy("vec", "y").agg(F.sum("w").alias("w"))
+        best = votes.groupBy("vec").agg(F.min_by("y", F.struct(-F.col("w"), "y")).alias("prediction"))
+        return test.withColumn("_vec", feature_vector(features)).join(
+            best.withColumnRenamed("vec", "_vec"), "_vec", "left").drop("_vec")
+    return several_classes(method, label)
+
+
 def forest_cls(num_trees: int = 20, max_depth: int = 5, seed: int = 42):
     return classify(RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, seed=seed), scale=False)
 
 
-def extra_trees_cls(num_trees: int = 20, max_depth: int = 5, seed: int = 42):
-    """Randomised trees approximation: no bootstrap, few candidate thresholds."""
-    return classify(RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, seed=seed,
-                                           bootstrap=False, maxBins=8, featureSubsetStrategy="sqrt"),
-                    scale=False)
+def extra_trees_cls(num_trees: int = 20, max_depth: int = 5, seed: int = 42, features: Sequence[str] = FEATURES, label: str = "label"):
+    """Extremely randomised trees (``models.extra_trees``) with balanced class weights: no bootstrap, thresholds drawn at
+    random per node.  ``p1`` is the share of the second smallest label."""
+    def method(train, test):
+        tr, te = _imputed(train, test, features)
+        tr = balanced_weights(tr.where(F.col(label).isNotNull()), label)
+        labels = [r[0] for r in tr.select(label).distinct().orderBy(label).collect()]  # the classes
+        number = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(label)).cast("int") - 1
+        x = F.array(*[F.col(f).cast("double") for f in features])
+        rows = cut_lineage(tr.select(x.alias("x"), number.alias("c"), F.col("_w").cast("double").alias("w")))
+        forest = extra_trees.grow(rows, len(features), len(labels), num_trees, max_depth, seed=seed)
+        out = extra_trees.predict(te.withColumn("_x", x), forest, [float(v) for v in labels], "_x")
+        return out.withColumn("p1", F.col("shares")[1]).drop("_x", "shares")
+    return several_classes(method, label)
 
 
 def ovr_forest(num_trees: int = 10, seed: int = 42):
@@ -254,7 +379,7 @@ def adaboost_samme(n_estimators: int = 5, max_depth: int = 2, seed: int = 42):
 
 
 def svm_cls(reg: float = 0.01):
-    return classify(LinearSVC(regParam=reg, maxIter=50), proba=False)
+    return several_classes(classify(LinearSVC(regParam=reg, maxIter=50), proba=False))
 
 
 def gmm_cls(k: int = 4, seed: int = 42):
@@ -292,49 +417,41 @@ def stacked_cls(seed: int = 42):
         top = LogisticRegression(featuresCol="_meta", labelCol="label", predictionCol="prediction").fit(meta(base(tr)))
         out = top.transform(meta(base(te)))
         return out.select(*[c for c in te.columns if c != "features"], "prediction")
-    return method
+    return several_classes(method)
 
 
-def fm_regress(dim: int = 8, fit_linear: bool = True, fit_intercept: bool = True, init_std: float = 0.1,
-               max_iter: int = 200, reg: float = 0.01, step: float = 0.05, tol: float = 1e-5, seed: int = 42,
-               bounds=(0.0, 4.0)):
-    """Factorization machine over one-hot user / item plus the real features,
-    fitted to the ratings less their mean and bounded like other predictors."""
-    def method(train, test):
-        mu = train.agg(F.avg("grdpts")).first()[0]
-        est = FMRegressor(factorSize=dim, fitLinear=fit_linear, fitIntercept=fit_intercept, initStd=init_std,
-                          maxIter=max_iter, regParam=reg, stepSize=step, tol=tol, seed=seed, solver="adamW")
-        out = _fm(train.withColumn("_y", F.col("grdpts") - F.lit(mu)), test, est, "_y", "pred")
-        return out.withColumn("pred", clip(F.col("pred") + F.lit(mu), *bounds))
-    return method
+def _imputed(train: DataFrame, test: DataFrame, features: Sequence[str]):
+    features = list(features)
+    tr, te, _ = impute(train, features, "median", all_null="ignore", test=test)
+    return tr.fillna(0.0, subset=features), te.fillna(0.0, subset=features)
 
 
-def fm_classify(dim: int = 8, max_iter: int = 100, step: float = 0.05, seed: int = 42):
+def _scaled(train: DataFrame, test: DataFrame, features: Sequence[str]):
+    """Imputed and z-scored columns, not assembled."""
+    tr, te = _imputed(train, test, features)
+    params = scale_params(tr, list(features))
+    return apply_scale(tr, params, list(features)), apply_scale(te, params, list(features))
+
+
+def fm_regress(dim: int = 8, ridge: float = 5.0, sweeps: int = 8, tol: float = 1e-3, seed: int = 42, bounds=(0.0, 4.0),
+               features: Sequence[str] = FEATURES, report: dict | None = None):
+    """Factorization machine over user, item and the real features, bounded like other predictors (``models.fm``)."""
     def method(train, test):
-        est = FMClassifier(factorSize=dim, maxIter=max_iter, stepSize=step, seed=seed, solver="adamW")
-        out = _fm(train, test, est, "label", "prediction")
-        return out.withColumn("p1", vector_to_array("probability")[1]).drop("probability", "rawPrediction")
+        tr, te = _scaled(train, test, features)
+        model = fm.fit(tr, "grdpts", features, dim=dim, ridge=ridge, sweeps=sweeps, tol=tol, seed=seed, report=report)
+        return fm.predict(te, model, features).withColumn("pred", clip(F.col("eta"), *bounds)).drop("eta")
     return method
 
 
-def _fm(train, test, est, label, pred):
-    """Ids come from distributed id maps over train and test; no label list
-    reaches the driver."""
-    tr, te = prepare(train, test)
-    both = tr.select("sid", "cid").unionByName(te.select("sid", "cid"))
-    users, items = build_idmap(both, ["sid"], "_si"), build_idmap(both, ["cid"], "_ci")
-
-    def ids(d):
-        d = null_safe_join(null_safe_join(d, users, ["sid"]), items, ["cid"])
-        return d.withColumns({"_si": F.col("_si").cast("double"), "_ci": F.col("_ci").cast("double")})
-
-    oh = OneHotEncoder(inputCols=["_si", "_ci"], outputCols=["_so", "_co"], dropLast=False, handleInvalid="keep")
-    va = VectorAssembler(inputCols=["_so", "_co", "features"], outputCol="_fm")
-    tr, te = ids(tr), ids(te)
-    enc = oh.fit(tr.select("_si", "_ci").unionByName(te.select("_si", "_ci")))
-    model = est.setFeaturesCol("_fm").setLabelCol(label).setPredictionCol(pred).fit(va.transform(enc.transform(tr)))
-    out = model.transform(va.transform(enc.transform(te)))
-    return out.drop("features", "_si", "_ci", "_so", "_co", "_fm")
+def fm_classify(dim: int = 8, ridge: float = 5.0, sweeps: int = 8, tol: float = 1e-3, seed: int = 42,
+                features: Sequence[str] = FEATURES, report: dict | None = None):
+    """Two classes by the logistic loss: ``p1`` and ``prediction`` (1 from 0.5 on); a train side with one class answers nothing."""
+    def method(train, test):
+        tr, te = _scaled(train, test, features)
+        model = fm.fit(tr, "label", features, dim=dim, ridge=ridge, sweeps=sweeps, tol=tol, seed=seed, logistic=True, report=report)
+        out = fm.predict(te, model, features).withColumn("p1", 1 / (1 + F.exp(-F.col("eta")))).drop("eta")
+        return out.withColumn("prediction", (F.col("p1") >= 0.5).cast("double"))
+    return several_classes(method)
 
 
 def forest_importance(df: DataFrame, features=FEATURES, term: str = "termnum", num_trees: int = 10,

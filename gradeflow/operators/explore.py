@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from gradeflow.operators.ids import build_idmap
+from gradeflow.operators.prep import null_safe_join
+
 
 def bipartite_edges(courses: DataFrame, sid: str = "id",
                     instr=("instr_lname", "instr_fname")) -> DataFrame:
@@ -53,14 +56,34 @@ def entry_correlations(term_gpa: DataFrame, admissions: DataFrame) -> DataFrame:
                  F.count(F.lit(1)).alias("n"))
 
 
-def entity_term_stats(graded: DataFrame, term: str = "termnum", disc: str = "disc") -> DataFrame:
+def entity_term_stats(graded: DataFrame, term: str = "termnum", disc: str = "disc",
+                      entities=(("n_students", ("id",)), ("n_courses", ("cnum",)), ("n_instructors", ("instr_lname", "instr_fname")))) -> DataFrame:
     """Per term and discipline (with rollup totals): distinct students, courses,
-    instructors, records and mean grade."""
-    return (graded.rollup(term, disc).agg(
-        F.countDistinct("id").alias("n_students"), F.countDistinct("cnum").alias("n_courses"),
-        F.countDistinct("instr_lname", "instr_fname").alias("n_instructors"),
-        F.count(F.lit(1)).alias("n_records"), F.avg("grdpts").alias("mean_grade"),
-        (F.grouping(term) == 1).alias("all_terms"), (F.grouping(disc) == 1).alias("all_discs")))
+    instructors, records and mean grade.
+
+    Distinct counts are exact: entities get contiguous ids, each (term, discipline, range of ids)
+    one bitmap, and totals are ORs of bitmaps, so no detail row is repeated per total.  An entity
+    with a NULL part is not counted."""
+    kinds = graded.select(term, disc).schema
+    sets = [[term, disc], [term], []]
+
+    def totals(parts: DataFrame, extra: list[str], *aggs) -> DataFrame:
+        """Aggregates of partial rows per (term, disc), per term and over all."""
+        return parts.groupingSets([[*(F.col(c) for c in g), *(F.col(c) for c in extra)] for g in sets], term, disc, *extra).agg(
+            *aggs, (F.grouping(term) == 1).alias("all_terms"), (F.grouping(disc) == 1).alias("all_discs"))
+    keys = [term, disc, "all_terms", "all_discs"]
+    base = graded.groupBy(term, disc).agg(F.count(F.lit(1)).alias("c"), F.sum("grdpts").alias("s"), F.count("grdpts").alias("g"))
+    out = totals(base, [], F.sum("c").alias("n_records"), F.try_divide(F.sum("s"), F.sum("g")).alias("mean_grade"))
+    for name, cols in entities:
+        known = graded.dropna(subset=list(cols)).select(term, disc, *cols)
+        at = build_idmap(known, list(cols), "_at")
+        bits = known.join(at, list(cols)).groupBy(term, disc, F.expr("bitmap_bucket_number(_at)").alias("_range")).agg(
+            F.expr("bitmap_construct_agg(bitmap_bit_position(_at)) AS bits"))
+        ranges = totals(bits, ["_range"], F.expr("bitmap_count(bitmap_or_agg(bits)) AS n"))
+        counts = ranges.groupBy(*keys).agg(F.sum("n").alias(name))
+        out = null_safe_join(out, counts, keys).withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+    return out.select(F.col(term).cast(kinds[0].dataType), F.col(disc).cast(kinds[1].dataType), *[n for n, _ in entities],
+                      "n_records", "mean_grade", "all_terms", "all_discs")
 
 
 def sequence_patterns(ratings: DataFrame, min_support: float = 0.1, max_len: int = 3,

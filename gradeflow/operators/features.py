@@ -226,13 +226,20 @@ def decay_weighted_gpa(df: DataFrame, decay: float = 0.5, sid="sid", term="termn
                        chrs="chrs", grade="grdpts") -> DataFrame:
     """GPA over earlier terms with weight ``decay**(t - t')`` (recent terms count more).
 
-    Uses the identity sum_t' x_t' d^(t-t') = d^t * sum_t' x_t' d^(-t'), so the
-    running sums stay ordinary window sums on the (sid, term) table.
-    """
-    t = df.groupBy(sid, term).agg(F.sum(F.col(chrs) * F.col(grade)).alias("_q"),
-                                  F.sum(chrs).alias("_h"))
-    w = W.partitionBy(sid).orderBy(term).rangeBetween(UNB, -1)
-    base = F.lit(float(decay))
-    q = F.sum(F.col("_q") * F.pow(base, -F.col(term))).over(w)
-    h = F.sum(F.col("_h") * F.pow(base, -F.col(term))).over(w)
-    return t.select(sid, term, safe_div(q, h).alias("tw_gpa"))
+    A fold over a student's terms (one entry a term): the weighted sums up to a term decay by the gap to
+    the next, so that no power of a term number itself is taken and raw term codes work as
+    well.  Rows without a term are left out."""
+    t = df.where(F.col(term).isNotNull()).groupBy(sid, term).agg(
+        F.coalesce(F.sum(F.col(chrs) * F.col(grade)), F.lit(0.0)).alias("q"), F.coalesce(F.sum(chrs), F.lit(0.0)).cast("double").alias("h"))
+    kind = df.schema[term].dataType.simpleString()
+    by_term = t.groupBy(sid).agg(F.sort_array(F.collect_list(F.struct(F.col(term).alias("t"), "q", "h"))).alias("s"))
+    start = F.struct(F.lit(None).cast(kind).alias("t"), F.lit(0.0).alias("q"), F.lit(0.0).alias("h"),
+                     F.array().cast(f"array<struct<t:{kind},q:double,h:double>>").alias("out"))
+
+    def step(acc, x):
+        fade = F.when(acc["t"].isNull(), F.lit(0.0)).otherwise(F.pow(F.lit(float(decay)), (x["t"] - acc["t"]).cast("double")))
+        q, h = acc["q"] * fade, acc["h"] * fade  # earlier terms as seen from this one
+        return F.struct(x["t"].alias("t"), (q + x["q"]).alias("q"), (h + x["h"]).alias("h"),
+                        F.concat(acc["out"], F.array(F.struct(x["t"].alias("t"), q.alias("q"), h.alias("h")))).alias("out"))
+    folded = by_term.select(sid, F.explode(F.aggregate("s", start, step, lambda acc: acc["out"])).alias("o"))
+    return folded.select(sid, F.col("o.t").alias(term), safe_div(F.col("o.q"), F.col("o.h")).alias("tw_gpa"))

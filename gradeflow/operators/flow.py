@@ -127,18 +127,6 @@ def flow(edge_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return w, nodes
 
 
-def flow_matrix(edge_rows: DataFrame, nodes: Sequence[str]) -> DataFrame:
-    """Dense node x node matrix of edge weights / total weight (zeros elsewhere)."""
-    nodes = list(nodes)
-    w = edge_rows.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
-    total = F.sum("weight").over(W.partitionBy())  # one row per distinct edge
-    w = w.select("src", "dst", (F.col("weight") / total).alias("share"))
-    piv = w.groupBy("src").pivot("dst", nodes).agg(F.first("share"))
-    spark = edge_rows.sparkSession
-    allnodes = spark.createDataFrame([(n,) for n in nodes], "src string")
-    return allnodes.join(piv, "src", "left").fillna(0.0, subset=nodes)
-
-
 def flow_grid(edge_rows: DataFrame) -> DataFrame:
     """(src, dst, share) for every pair of nodes, zeros included: the long form
     of the matrix, built from the node table (statuses and majors, not rows)."""

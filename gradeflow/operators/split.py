@@ -15,6 +15,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from gradeflow.operators.prep import null_safe_join
+
 OPS: dict[str, Callable] = {"lt": operator.lt, "le": operator.le, "gt": operator.gt,
                             "ge": operator.ge, "eq": operator.eq, "ne": operator.ne}
 
@@ -157,21 +159,24 @@ def random_split(df: DataFrame, p: float, seed: int = 42, keys: Sequence[str] |
 
 def holdout_k(df: DataFrame, k: int, seed: int = 42, user: str = "sid", item: str = "cid",
               salts: int = 16) -> DataFrame:
-    """Hold out k pseudo-random rated items per user (test), the rest train.
-
-    Exact top-k in two rounds so a heavy user is not sorted in one task: the
-    user's rows are spread over ``salts`` groups, each keeps its k smallest
-    hashes, then the user keeps the k smallest of those candidates."""
-    h = df.withColumn("_h", row_hash(seed, item))
+    """Hold out k pseudo-random ratings of each user (test), the rest train.
+
+    Each (user, item) has a draw of its own, so different users hold out different
+    items.  Rows are labelled themselves: of repeated pairs as many are held out as fall among the
+    k, and a NULL user is a user like any other.  Exact top-k in two rounds so a heavy user is not sorted in
+    one task: the user's rows are spread over ``salts`` groups, each ranks its rows, the
+    user's k-th smallest of the groups' candidates is the limit that labels all rows."""
+    h = df.withColumn("_h", row_hash(seed, user, item)).withColumn("_x", F.xxhash64(*df.columns))
     h = h.withColumn("_salt", F.pmod(F.xxhash64(F.col(item), F.lit(seed + 1)), F.lit(salts)))
-    w1 = W.partitionBy(user, "_salt").orderBy("_h", item)
-    cand = h.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k)
-    w2 = W.partitionBy(user).orderBy("_h", item)
-    held = cand.withColumn("_r2", F.row_number().over(w2)).where(F.col("_r2") <= k).select(user, item)
-    held = held.withColumn("_test", F.lit(True))
-    return (h.join(held, [user, item], "left")
-             .withColumn("split", F.when(F.col("_test"), "test").otherwise("train"))
-             .drop("_h", "_salt", "_test"))
+    h = h.withColumn("_r", F.row_number().over(W.partitionBy(user, "_salt").orderBy("_h", item, "_x")))
+    # rows of one pair share the salt, so (draw, item, rank) tells all rows of a user apart, in the order of the draws
+    place = F.struct("_h", F.coalesce(F.col(item).cast("string"), F.lit("")), "_salt", "_r")
+    cand = h.where(F.col("_r") <= k).select(user, place.alias("_at"))
+    last = cand.withColumn("_n", F.row_number().over(W.partitionBy(user).orderBy("_at"))).where(F.col("_n") <= k) \
+               .groupBy(user).agg(F.max("_at").alias("_last"))
+    out = null_safe_join(h.withColumn("_at", place), last, [user])
+    return out.withColumn("split", F.when(F.col("_at") <= F.col("_last"), "test").otherwise("train")) \
+              .select(*df.columns, "split")
 
 
 def seed_unseen_items(train: DataFrame, test: DataFrame, k: int = 3, item: str = "cid",

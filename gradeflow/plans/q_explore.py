@@ -74,9 +74,9 @@ def q_seq(fx):
 
 
 @register("time_weighted_gpa", oracle("""
-SELECT sid, termnum, sum(q * power(0.5e0, -termnum)) OVER w / nullif(sum(h * power(0.5e0, -termnum)) OVER w, 0)
-       AS tw_gpa
-FROM (SELECT sid, termnum, sum(chrs * grdpts) AS q, sum(chrs) AS h FROM v_ratings GROUP BY sid, termnum) t
-WINDOW w AS (PARTITION BY sid ORDER BY termnum RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""", "v_ratings"))
+WITH t AS (SELECT sid, termnum, sum(chrs * grdpts) AS q, sum(chrs) AS h FROM v_ratings GROUP BY sid, termnum)
+SELECT a.sid, a.termnum, sum(b.q * power(0.5e0, a.termnum - b.termnum)) / nullif(sum(b.h * power(0.5e0, a.termnum - b.termnum)), 0)
+  AS tw_gpa
+FROM t a LEFT JOIN t b ON a.sid = b.sid AND b.termnum < a.termnum GROUP BY a.sid, a.termnum""", "v_ratings"))
 def q_tw_gpa(fx):
     return FT.decay_weighted_gpa(fx.ratings, 0.5)

@@ -7,13 +7,17 @@ oracle (rows-only check) and are covered by tolerance tests.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from gradeflow.models import baselines as B
 from gradeflow.models import mf as MF
 from gradeflow.models import ml as ML
+from gradeflow.models.gram import linear_search
 from gradeflow.operators import features as FT
 from gradeflow.operators import ids as ID
+from gradeflow.operators.knn import nearest
 from gradeflow.plans import q_stats  # noqa: F401 - registers v_eng_train
 from gradeflow.plans import rolling as RO
 from gradeflow.plans.registry import oracle, register, sql_view
@@ -130,7 +134,7 @@ def q_biased(fx):
 
 @register("mf_batch_gd")
 def q_gd(fx):
-    return RO.holdout_eval(fx.ratings, MF.mf_gd(dim=5), T).select(*OUT)
+    return RO.holdout_eval(fx.ratings, MF.mf_gd(dim=5, reg=0.1), T).select(*OUT)
 
 
 @register("pred_svd")
@@ -163,12 +167,12 @@ def q_lookup(fx):
 
 @register("fm_regress")
 def q_fm(fx):
-    return _holdout(fx, ML.fm_regress(dim=4, max_iter=60))
+    return _holdout(fx, ML.fm_regress(dim=4, sweeps=2))
 
 
 @register("fm_classify")
 def q_fm_cls(fx):
-    return _cls(fx, ML.fm_classify(dim=4, max_iter=40))
+    return _cls(fx, ML.fm_classify(dim=4, sweeps=2))
 
 
 # -- regression ----------------------------------------------------------------
@@ -218,6 +222,64 @@ def q_ada(fx):
     return _holdout(fx, ML.adaboost_r2(4, 3))
 
 
+KNN = ["chrs", "total_chrs", "num_enrolled", "total_enrolled"]  # whole numbers: distances tie exactly in both engines
+
+
+def _knn_sql() -> str:
+    """The five nearest train rows of each distinct test vector, by (distance, ord)."""
+    vec = ", ".join(f"coalesce({c}, 0.0e0) AS f{i}" for i, c in enumerate(KNN))
+    d2 = " + ".join(f"(q.f{i} - b.f{i}) * (q.f{i} - b.f{i})" for i in range(len(KNN)))
+    key = ", ".join(f"f{i}" for i in range(len(KNN)))
+    on = " AND ".join(f"n.f{i} = t.f{i}" for i in range(len(KNN)))
+    return f"""
+WITH base AS (SELECT {vec}, grdpts AS y, ord FROM v_engineered WHERE termnum < {T}),
+tests AS (SELECT sid, cid, termnum, grdpts, {vec} FROM v_engineered WHERE termnum >= {T}),
+near AS (
+  SELECT {', '.join(f'q.f{i}' for i in range(len(KNN)))}, min({{'d2': {d2}, 'ord': b.ord, 'y': b.y}}, 5) AS five
+  FROM (SELECT DISTINCT {key} FROM tests) q, base b GROUP BY ALL),
+rows_ AS (SELECT {key}, unnest(five) AS r FROM near),
+weights AS (
+  SELECT *, CASE WHEN min(r.d2) OVER (PARTITION BY {key}) = 0 THEN CASE WHEN r.d2 = 0 THEN 1.0e0 ELSE 0.0e0 END
+    ELSE 1.0e0 / sqrt(r.d2) END AS w FROM rows_),
+preds AS (SELECT {key}, avg(r.y) AS pred_uniform, sum(w * r.y) / sum(w) AS pred_distance FROM weights GROUP BY {key})
+SELECT t.sid, t.cid, t.termnum, t.grdpts, n.pred_uniform, n.pred_distance FROM tests t JOIN preds n ON {on}"""
+
+
+@register("reg_knn", oracle(_knn_sql(), "v_engineered"))
+def q_knn(fx):
+    """Both weightings of the five nearest train rows."""
+    e = RO.written(_eng(fx), "knn")
+    train, test = e.where(F.col("termnum") < T), e.where(F.col("termnum") >= T)
+    near = ML.neighbours(train, test, 5, KNN, "grdpts", "ord").withColumn("w", ML._votes("distance"))
+    preds = near.groupBy("vec").agg(F.avg("y").alias("pred_uniform"), (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("pred_distance"))
+    return test.withColumn("vec", ML.feature_vector(KNN)).join(preds, "vec").select(
+        "sid", "cid", "termnum", "grdpts", "pred_uniform", "pred_distance")
+
+
+@register("cls_knn", """
+WITH e AS (SELECT vec_id, label, embedding, vec_id % 5 = 0 AS test FROM embeddings),
+near AS (
+  SELECT q.vec_id, any_value(q.label) AS label, min({'d2': list_sum(list_transform(list_zip(q.embedding, b.embedding),
+    lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)))),
+    'vec_id': b.vec_id, 'y': b.label}, 7) AS seven
+  FROM e q, e b WHERE q.test AND NOT b.test GROUP BY q.vec_id),
+rows_ AS (SELECT vec_id, label, unnest(seven) AS r FROM near),
+weights AS (
+  SELECT *, CASE WHEN min(r.d2) OVER (PARTITION BY vec_id) = 0 THEN CASE WHEN r.d2 = 0 THEN 1.0e0 ELSE 0.0e0 END
+    ELSE 1.0e0 / sqrt(r.d2) END AS w FROM rows_),
+votes AS (SELECT vec_id, label, r.y AS y, sum(w) AS w FROM weights GROUP BY ALL)
+SELECT vec_id, CAST(label AS DOUBLE) AS label, CAST(y AS DOUBLE) AS prediction FROM votes
+QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY w DESC, y) = 1""")
+def q_cls_knn(fx):
+    """Labels of every fifth embedding by distance-weighted vote of its seven nearest others."""
+    e = fx.table("embeddings").select("vec_id", F.col("label").cast("double").alias("label"), F.col("embedding").cast("array<double>").alias("vec"))
+    base, queries = e.where("vec_id % 5 <> 0"), e.where("vec_id % 5 = 0")
+    near = nearest(queries.select(F.col("vec_id").alias("qid"), "vec"), base.select(F.col("vec_id").alias("bid"), F.col("label").alias("y"), "vec"), 7)
+    votes = near.withColumnRenamed("qid", "vec").withColumn("w", ML._votes("distance")).groupBy("vec", "y").agg(F.sum("w").alias("w"))
+    best = votes.groupBy(F.col("vec").alias("vec_id")).agg(F.min_by("y", F.struct(-F.col("w"), "y")).alias("prediction"))
+    return queries.select("vec_id", "label").join(best, "vec_id")
+
+
 # -- classification ----------------------------------------------------------------
 
 @register("cls_forest")
@@ -297,17 +359,40 @@ def q_assemble(fx):
     return out.select("sid", "cid", "termnum", "split", F.posexplode(vector_to_array("features")).alias("pos", "value"))
 
 
-@register("feature_combinations")
+SEARCH = ["chrs", "term_chrs", "num_enrolled"]
+
+
+def _line_sql(pairs, l2s, windows) -> str:
+    """Rolling RMSE of two-feature least squares by its closed form, for each pair, ridge penalty and window."""
+    parts = []
+    for (a, b), l2, w in itertools.product(pairs, l2s, windows):
+        near = "" if w is None else f" AND r.termnum >= t.termnum - {w}"
+        parts.append(f"""
+SELECT '{a},{b}' AS features, CAST({l2!r} AS DOUBLE) AS l2, CAST({'NULL' if w is None else w} AS BIGINT) AS window,
+  sqrt(avg(e * e)) AS rmse, count(*) AS n FROM (
+  SELECT v.grdpts - least(greatest(my + b1 * (v.{a} - m1) + b2 * (v.{b} - m2), 0.0e0), 4.0e0) AS e
+  FROM v_engineered v JOIN (
+    SELECT termnum, my, m1, m2, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1,
+      (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2 FROM (
+      SELECT t.termnum, avg(grdpts) AS my, avg({a}) AS m1, avg({b}) AS m2,
+        count(*) * var_pop({a}) + {l2!r} AS s11, count(*) * var_pop({b}) + {l2!r} AS s22, count(*) * covar_pop({a}, {b}) AS s12,
+        count(*) * covar_pop({a}, grdpts) AS s1y, count(*) * covar_pop({b}, grdpts) AS s2y
+      FROM (SELECT DISTINCT termnum FROM v_engineered) t JOIN v_engineered r ON r.termnum < t.termnum{near}
+      GROUP BY t.termnum) s) m ON m.termnum = v.termnum) x""")
+    return " UNION ALL ".join(parts)
+
+
+PAIRS = list(itertools.combinations(SEARCH, 2))
+
+
+@register("feature_combinations", oracle(f"SELECT features, rmse, n FROM ({_line_sql(PAIRS, [0.0], [None])}) s", "v_engineered"))
 def q_feature_search(fx):
-    def evaluate(df, method):
-        return RO.holdout_eval(df, method, T)
-    return RO.feature_search(_eng(fx), ["lterm_gpa", "lterm_cgpa", "chrs"], 2,
-                             lambda feats: ML._regress(ML.LinearRegression(), feats), evaluate=evaluate)
+    """Rolling RMSE of least squares on every pair of features, all from one scan and one pass of errors."""
+    return linear_search(_eng(fx), SEARCH, PAIRS).select("features", "rmse", "n")
 
 
-@register("grid_search")
+@register("grid_search", oracle(f"""SELECT l2, "window", rmse, n FROM ({_line_sql(PAIRS[:1], [0.0, 100.0, 10000.0], [None, 4])}) s""",
+                                "v_engineered"))
 def q_grid(fx):
-    def evaluate(df, method):
-        return RO.holdout_eval(df, method, T)
-    return RO.grid(fx.ratings, lambda rank, reg: MF.mf_als(rank=rank, reg=reg, max_iter=5),
-                   {"rank": [4, 8], "reg": [0.05, 0.2]}, evaluate=evaluate)
+    """Rolling RMSE over a grid of ridge penalties and train windows."""
+    return linear_search(_eng(fx), SEARCH[:2], l2s=[0.0, 100.0, 10000.0], windows=[None, 4]).select("l2", "window", "rmse", "n")

@@ -106,7 +106,7 @@ def q_random(fx):
 
 
 @register("split_k_per_user", oracle("""
-SELECT sid, cid, termnum, CASE WHEN row_number() OVER (PARTITION BY sid ORDER BY md5('7|' || cid), cid) <= 3
+SELECT sid, cid, termnum, CASE WHEN row_number() OVER (PARTITION BY sid ORDER BY md5('7|' || sid || '|' || cid), cid) <= 3
   THEN 'test' ELSE 'train' END AS split FROM v_ratings""", "v_ratings"))
 def q_holdout_k(fx):
     return SP.holdout_k(fx.ratings, 3, seed=7).select("sid", "cid", "termnum", "split")

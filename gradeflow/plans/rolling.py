@@ -30,10 +30,12 @@ def rolling_eval(df: DataFrame, method: Method, term: str = "termnum", window: i
                  bounds=(0.0, 4.0), persist: bool = True) -> DataFrame:
     """For every term t: train on earlier terms (optionally the last ``window``),
     test on t, optionally drop cold-start rows, skip empty sides; return the
-    union of test rows with ``pred`` (unclipped) and ``error`` (clipped)."""
+    union of test rows with ``pred`` (unclipped) and ``error`` (clipped).  A row
+    without a term is neither before nor in any, so it is left out."""
     if persist:
         df = written(df, "rolling")
     sizes = {r[0]: r[1] for r in df.groupBy(term).count().collect()}  # one row per term
+    sizes.pop(None, None)
     terms = sorted(sizes)
     out = []
     for t in terms:

@@ -71,3 +71,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss), eager."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def write_cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Lineage cut through a Parquet table below the shared folder, for loops.  A checkpoint hands on the
+    optimizer's size estimate, which multiplies with every join of a loop; a table starts from its files' size."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -65,8 +65,59 @@ def test_svd_is_numpys(spark):
             assert abs(p - min(4, max(0, x[users.index(a), items.index(b)]))) < 1e-6
 
 
-def test_nearest_item_without_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(MF, "NEAREST_BLOCK", 7)
+def svd_frame(spark, full, keep, seed=0):
+    rng = np.random.default_rng(seed)
+    rows = [(i, f"c{j:03d}", float(full[i, j])) for i in range(full.shape[0]) for j in range(full.shape[1]) if rng.random() < keep]
+    return spark.createDataFrame(rows, "sid long, cid string, grdpts double"), rows
+
+
+@pytest.mark.parametrize("kind", ["noise", "planted"])
+def test_krylov_svd_is_numpys_on_larger_tables(spark, kind):
+    """Noise (close singular values) and a planted rank; the residual stop is reached and meant."""
+    rng = np.random.default_rng(7)
+    n, m, k = 300, 120, 4
+    full = np.round(rng.uniform(0, 4, size=(n, m)), 2) if kind == "noise" else \
+        2 + rng.normal(size=(n, 3)) @ rng.normal(size=(3, m)) * 0.4 + 0.05 * rng.normal(size=(n, m))
+    df, rows = svd_frame(spark, full, 0.25)
+    cols = {}
+    for _, c, v in rows:
+        cols.setdefault(c, []).append(v)
+    fill = np.mean([np.mean(v) for v in cols.values()])
+    items = sorted(cols)
+    users = sorted({r[0] for r in rows})
+    a = np.full((len(users), len(items)), fill)
+    for i, c, v in rows:
+        a[users.index(i), items.index(c)] = v
+    u, s, vt = np.linalg.svd(a, full_matrices=False)
+    report = {}
+    uf, vf, _ = MF.svd_factors(df, k, report=report)
+    assert np.abs(report["values"] - s[:k]).max() < 1e-6 * s[0]
+    assert (report["residuals"] <= np.maximum(1e-8 * report["values"] ** 2, 1e-12 * s[0] ** 2)).all()
+    uf, vf = ({r[0]: r[1] for r in t.collect()} for t in (uf, vf))
+    got = np.array([uf[x] for x in users]) @ np.array([vf[c] for c in items]).T
+    assert np.abs(got - (u[:, :k] * s[:k]) @ vt[:k]).max() < 1e-6
+    with pytest.raises(RuntimeError):
+        MF.svd_factors(df, k, max_rounds=2)
+
+
+def test_svd_edges(spark):
+    """One user; equal ratings (rank one); rows without a key or value; a pair rated twice."""
+    one = spark.createDataFrame([(1, "a", 3.0), (1, "b", 1.0)], "sid long, cid string, grdpts double")
+    uf, vf, fill = MF.svd_factors(one, 2)
+    u, v = uf.first()["uf"], {r["cid"]: r["vf"] for r in vf.collect()}
+    assert fill == 2.0 and abs(np.dot(u, v["a"]) - 3) < 1e-9 and abs(np.dot(u, v["b"]) - 1) < 1e-9
+    flat = spark.createDataFrame([(i, f"c{j}", 2.0) for i in range(4) for j in range(5)] + [(None, "c1", 4.0), (1, None, 4.0), (2, "c1", None)],
+                                 "sid long, cid string, grdpts double")
+    uf, vf, fill = MF.svd_factors(flat, 3)
+    u, v = ({r[0]: r[1] for r in t.collect()} for t in (uf, vf))
+    assert fill == 2.0 and all(abs(np.dot(u[i], v[f"c{j}"]) - 2) < 1e-9 for i in range(4) for j in range(5))
+    twice = spark.createDataFrame([(1, "a", 4.0), (1, "a", 2.0), (2, "b", 1.0)], "sid long, cid string, grdpts double")
+    uf, vf, fill = MF.svd_factors(twice, 2)
+    u, v = ({r[0]: r[1] for r in t.collect()} for t in (uf, vf))
+    assert fill == 2.0 and abs(np.dot(u[1], v["a"]) - 3) < 1e-9
+
+
+def test_nearest_item_is_the_largest_product(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(40, 3)) * rng.uniform(0.1, 3, size=(40, 1))
     df = spark.createDataFrame([(f"c{i:02d}", [float(x) for x in r]) for i, r in enumerate(v)], "cid string, vf array<double>")
@@ -75,6 +126,26 @@ def test_nearest_item_without_all_pairs(spark, monkeypatch):
     assert got == {f"c{i:02d}": f"c{b:02d}" for i, b in enumerate(best)}
 
 
+def test_gradient_steps_beat_mean_of_means(spark):
+    train, test, _ = planted(spark)
+    report = {}
+    out = MF.mf_gd(dim=5, reg=0.005, tol=5e-4, report=report)(train, test)
+    assert rmse(out) < 0.8 * rmse(B.mean_of_means(train, test, fallback="global"))
+    curve = report["rmse"]
+    assert all(a >= b for a, b in zip(curve, curve[1:])) and len(curve) < 80
+
+
+def test_gradient_blocks_and_chunks(spark, monkeypatch):
+    """Many blocks and short chunks give the very factors of one block."""
+    from gradeflow.models import blocks
+    train, test, _ = planted(spark, n=50, m=20)
+    one = {(r["sid"], r["cid"]): r["pred"] for r in MF.mf_gd(dim=3, min_iter=4, tol=9.0)(train, test).collect()}
+    monkeypatch.setattr(blocks, "BLOCK_KEYS", 6)
+    monkeypatch.setattr(blocks, "CHUNK", 7)
+    many = {(r["sid"], r["cid"]): r["pred"] for r in MF.mf_gd(dim=3, min_iter=4, tol=9.0)(train, test).collect()}
+    assert one.keys() == many.keys() and max(abs(one[k] - many[k]) for k in one) < 1e-9
+
+
 def engineered(spark, n=400, seed=3):
     from gradeflow.models.ml import FEATURES
     rng = np.random.default_rng(seed)
@@ -90,7 +161,7 @@ def test_regressions_find_a_planted_line(spark):
     from gradeflow.models import ml as ML
     train, test = engineered(spark)
     constant = test.agg(F.stddev_pop("grdpts")).first()[0]
-    for method in (ML.linear(), ML.eps_insensitive(), ML.fm_regress(dim=2, max_iter=80)):
+    for method in (ML.linear(), ML.eps_insensitive(), ML.fm_regress(dim=2, ridge=1.0)):
         assert rmse(method(train, test)) < 0.5 * constant
 
 
