@@ -110,7 +110,8 @@ def test_planted_line_for_other_regressions(spark, method):
     df = spark.createDataFrame([(i % 20, f"c{i % 7}", 10 * int(i % 4 == 0), float(y[i]), *map(float, x[i])) for i in range(400)],
                                "sid long, cid string, termnum long, grdpts double, " + ", ".join(f"{f} double" for f in ML.FEATURES))
     train, test = df.where("termnum = 0"), df.where("termnum = 10")
-    m = {"reg_ridge": ML.linear(l2=1.0), "tree": ML.tree(5), "forest": ML.forest(20, 6), "ada": ML.adaboost_r2(6, 4)}[method]
+    m = {"reg_ridge": lambda: ML.linear(l2=1.0), "tree": lambda: ML.tree(5), "forest": lambda: ML.forest(20, 6),
+         "ada": lambda: ML.adaboost_r2(6, 4)}[method]()
     rmse = m(train, test).agg(F.sqrt(F.avg((F.col("pred") - F.col("grdpts")) ** 2))).first()[0]
     assert rmse < 0.65 * test.agg(F.stddev_pop("grdpts")).first()[0]
 
@@ -128,8 +129,9 @@ def classes(spark, n=600, seed=4):
 @pytest.mark.parametrize("method", ["forest", "extra", "ada", "gboost", "svm", "stacked", "ovr", "gmm"])
 def test_classifiers_on_separable_data(spark, method):
     train, test = classes(spark)
-    m = {"forest": ML.forest_cls(20, 6), "extra": ML.extra_trees_cls(30, 7), "ada": ML.adaboost_samme(8, 2), "gboost": ML.gboost_cls(15),
-         "svm": ML.svm_cls(), "stacked": ML.stacked_cls(), "ovr": ML.ovr_forest(10), "gmm": ML.gmm_cls(8)}[method]
+    m = {"forest": lambda: ML.forest_cls(20, 6), "extra": lambda: ML.extra_trees_cls(30, 7), "ada": lambda: ML.adaboost_samme(8, 2),
+         "gboost": lambda: ML.gboost_cls(15), "svm": ML.svm_cls, "stacked": ML.stacked_cls, "ovr": lambda: ML.ovr_forest(10),
+         "gmm": lambda: ML.gmm_cls(8)}[method]()
     out = m(train, test).collect()
     right = np.mean([r["prediction"] == r["label"] for r in out])
     assert len(out) == test.count() and right > (0.6 if method == "gmm" else 0.8), right

@@ -42,8 +42,9 @@ def test_decayed_gpa_for_any_term_numbers(spark, first):
     assert got[0] is None and got[1] == 4.0 and abs(got[2] - (4 * .125 + 2 * .25) / (.125 + .25)) < 1e-12
 
 
-@pytest.mark.parametrize("method", [ML.svm_cls(), ML.stacked_cls(), ML.knn_cls(1, features=["chrs"])])
-def test_one_class_is_skipped(spark, method):
+@pytest.mark.parametrize("make", [ML.svm_cls, ML.stacked_cls, lambda: ML.knn_cls(1, features=["chrs"]), ML.fm_classify, ML.extra_trees_cls])
+def test_one_class_is_skipped(spark, make):
+    method = make()
     df = spark.createDataFrame([(i, 0.0, *[float(i)] * len(ML.FEATURES), i) for i in range(4)],
                                "sid long, label double, " + ", ".join(f"{f} double" for f in ML.FEATURES) + ", ord long")
     out = method(df, df)
