@@ -29,6 +29,8 @@ def sql_view(name: str, deps: list[str], body: str) -> None:
 
 
 def oracle(body: str, *views: str) -> str:
+    if body.lstrip().upper().startswith("WITH"):  # the views are a WITH themselves
+        body = f"SELECT * FROM ({body}) _body"
     return with_views(body, *views, extra=EXTRA_SQL, extra_deps=EXTRA_DEPS)
 
 
