@@ -150,16 +150,13 @@ def _meet(k: int, qid_type: pa.DataType, bid_type: pa.DataType, y_type: pa.DataT
                 queries = cell["qvecs"].to_numpy().reshape(len(reach), -1)
                 base = cell["vecs"].to_numpy().reshape(len(cell["ids"]), -1)
                 d = squared(queries, base)
-                limit = (reach * (1 + SLACK)) ** 2
-                if len(base) > k:
-                    limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1])
-                q, b = np.nonzero(d <= limit[:, None])
+                # places are in order of ids, so a stable sort settles ties
+                order = np.argsort(d, axis=1, kind="stable")[:, :k]
+                near = np.take_along_axis(d, order, 1)
+                q, rank = np.nonzero(near <= ((reach * (1 + SLACK)) ** 2)[:, None])
                 if not len(q):
                     continue
-                order = np.lexsort((b, d[q, b], q))  # places are in order of ids
-                q, b = q[order], b[order]
-                rank = np.arange(len(q)) - np.searchsorted(q, q)
-                q, b = q[rank < k], b[rank < k]
+                b = order[q, rank]
                 yield pa.RecordBatch.from_arrays([cell["qids"].take(pa.array(q)), cell["ids"].take(pa.array(b)),
                                                   cell["ys"].take(pa.array(b)), pa.array(d[q, b])], schema=schema)
     return run
