@@ -204,7 +204,9 @@ class Items:
                     if d == 0:
                         break
             if best:
-                yield self.items[k][0], best[0], max(best[1], best[2] - m - best[0]), best[2]
+                # the same edits read backwards from the passage's end lead to its first word
+                _, length = best_passage(self.words[k][::-1], doc[best[1]:best[2]][::-1], anchored=True)
+                yield self.items[k][0], best[0], best[2] - length, best[2]
 
 
 def joined(spans: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -228,11 +230,11 @@ def run_keys(words) -> np.ndarray:
     return key
 
 
-def best_passage(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
-    """Least word edits between the item and any passage, and its end: rows of
-    the alignment table, insertions resolved by a running minimum."""
+def best_passage(item: np.ndarray, text: np.ndarray, anchored: bool = False) -> tuple[int, int]:
+    """Least word edits between the item and any passage (``anchored``: any that begins with the text), and its
+    end: rows of the alignment table, insertions resolved by a running minimum."""
     j = np.arange(len(text) + 1)
-    row = np.zeros(len(text) + 1, np.int64)
+    row = j.astype(np.int64) if anchored else np.zeros(len(text) + 1, np.int64)
     for i, w in enumerate(item, 1):
         nxt = np.empty_like(row)
         nxt[0] = i
@@ -255,19 +257,20 @@ def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     items = benchmark.select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).where("t is not null")
     blocks = max(1, -(-items.count() // ITEMS_PER_BLOCK))
     block_of = F.pmod(F.xxhash64("t"), F.lit(blocks))
+    item_kind = items.schema["i"].dataType
     out, clean = None, df
     for n in range(blocks):
         block = Items([(r["i"], normal_words(r["t"])) for r in items.where(block_of == n).orderBy("i", "t").collect()],
                       similarity, recall)
         if pass_through:
-            clean = _apply(clean, block, key, text, True)
+            clean = _apply(clean, block, key, text, True, item_kind)
         else:
-            part = _apply(df.select(F.col(key).alias("k"), F.col(text).alias("t")), block, "k", "t", False)
+            part = _apply(df.select(F.col(key).alias("k"), F.col(text).alias("t")), block, "k", "t", False, item_kind)
             out = part if out is None else out.unionByName(part)
     return clean if pass_through else out.withColumnsRenamed({"k": key, "item": item_key})
 
 
-def _apply(df: DataFrame, block: Items, key: str, text: str, pass_through: bool) -> DataFrame:
+def _apply(df: DataFrame, block: Items, key: str, text: str, pass_through: bool, item_kind) -> DataFrame:
     def searcher():
         get = block.vocab.get
         # -1: a word no item has; marks at a word's ends do not count; -9: no word
@@ -297,12 +300,12 @@ def _apply(df: DataFrame, block: Items, key: str, text: str, pass_through: bool)
         for ks, ts in rows(batches, key, text):
             found = [(k, *x) for k, t in zip(ks, ts) for x in search(t)]
             yield pa.RecordBatch.from_pydict({
-                "k": pa.array([f[0] for f in found], key_arrow), "item": pa.array([f[1] for f in found], pa.int64()),
+                "k": pa.array([f[0] for f in found], key_arrow), "item": pa.array([f[1] for f in found], item_arrow),
                 "distance": pa.array([f[2] for f in found], pa.int32()),
                 "first_word": pa.array([f[3] for f in found], pa.int32()),
                 "end_word": pa.array([f[4] for f in found], pa.int32())})
 
     kind = df.schema[key].dataType
     from pyspark.sql.pandas.types import to_arrow_type
-    key_arrow = to_arrow_type(kind)
-    return df.mapInArrow(run, f"k {kind.simpleString()}, item long, distance int, first_word int, end_word int")
+    key_arrow, item_arrow = to_arrow_type(kind), to_arrow_type(item_kind)
+    return df.mapInArrow(run, f"k {kind.simpleString()}, item {item_kind.simpleString()}, distance int, first_word int, end_word int")

@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gradeflow.llm.bpe import BoundedCache
 from gradeflow.llm.common import is_held_out, rows, words_of
@@ -169,10 +170,12 @@ def _document_counts(train: DataFrame, words: set[bytes]) -> DataFrame:
                         found.setdefault((w, b" ".join(ws[max(0, i - 1):i + 2]), 1 if y == 1 else 0), k)
             yield pa.RecordBatch.from_pydict({
                 "w": pa.array([f[0] for f in found], pa.binary()), "c": pa.array([f[1] for f in found], pa.binary()),
-                "y": pa.array([f[2] for f in found], pa.int32()), "k": pa.array([*found.values()], pa.int64())})
+                "y": pa.array([f[2] for f in found], pa.int32()), "k": pa.array([*found.values()], key_arrow)})
 
-    return (train.select(F.col("k").cast("long").alias("k"), "t", "y")
-            .mapInArrow(run, "w binary, c binary, y int, k long")
+    kind = train.schema["k"].dataType  # keys of any type: they only tell documents apart
+    key_arrow = to_arrow_type(kind)
+    return (train.select("k", "t", "y")
+            .mapInArrow(run, f"w binary, c binary, y int, k {kind.simpleString()}")
             .groupBy("w", "c", "y").agg(F.min("k").alias("k")).select("w", "y", "k").distinct().groupBy("w")
             .agg(F.sum(F.when(F.col("y") == 0, 1).otherwise(0)).alias("y0"), F.sum("y").alias("y1")))
 

@@ -133,3 +133,38 @@ def test_recall_at_the_limit_by_kind_and_length(kind):
             missed += k not in found
         # 0.999: more than three of 400 have a chance of one in a thousand
         assert missed <= (3 if pairs == 400 else 1), (kind, m, missed)
+
+
+def whole_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, w in enumerate(a, 1):
+        nxt = [i]
+        for j, x in enumerate(b, 1):
+            nxt.append(min(row[j - 1] + (w != x), row[j] + 1, nxt[-1] + 1))
+        row = nxt
+    return row[-1]
+
+
+def test_the_span_is_the_passage(spark):
+    """The item and the reported words differ by exactly the reported edits, deletions included."""
+    rows, items = planted()
+    words = [f"w{k}" for k in range(20)]
+    rows += [(1000, " ".join(["x"] * 12 + words[:5] + words[8:] + ["y"] * 9))]
+    items += [(500, " ".join(words))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    text, item = ({k: dc.normal_words(t) for k, t in x} for x in (rows, items))
+    got = dc.leaks(df, bench).collect()
+    assert len(got) > 50
+    for r in got:
+        # words that are only marks are no words of either side
+        span = [w for w in text[r["doc_id"]] if w][r["first_word"]:r["end_word"]]
+        assert whole_distance(item[r["item_id"]], span) == r["distance"], r
+    assert [(r["first_word"], r["end_word"], r["distance"]) for r in got if r["doc_id"] == 1000] == [(12, 29, 3)]
+
+
+def test_keys_of_other_types(spark):
+    df = spark.createDataFrame([("d1", "alpha beta gamma delta epsilon zeta"), ("d2", "nothing of it")], "doc_id string, text string")
+    bench = spark.createDataFrame([("item-a", "beta gamma delta epsilon")], "item_id string, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in dc.leaks(df, bench).collect()] == [("d1", "item-a")]
+    assert [r["doc_id"] for r in dc.leaks(df, bench, pass_through=True).collect()] == ["d2"]
