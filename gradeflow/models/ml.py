@@ -28,7 +28,7 @@ from gradeflow.functions.scalars import clip
 from gradeflow.models import extra_trees, fm
 from gradeflow.operators.knn import nearest
 from gradeflow.operators.stats import apply_scale, impute, impute_values, scale_params
-from gradeflow.session import cut_lineage
+from gradeflow.session import cut_lineage, write_cut
 
 FEATURES = ["chrs", "lterm_gpa", "lterm_cum_gpa", "total_chrs", "term_chrs", "num_enrolled",
             "lterm_cgpa", "lterm_cum_cgpa", "total_enrolled"]
@@ -347,34 +347,46 @@ def gboost_cls(max_iter: int = 20, step: float = 0.1, seed: int = 42):
     return classify(GBTClassifier(maxIter=max_iter, stepSize=step, seed=seed), scale=False)
 
 
-def adaboost_samme(n_estimators: int = 5, max_depth: int = 2, seed: int = 42):
-    """Binary SAMME: weighted stumps/trees, one aggregate per round."""
+def _samme_fit(tr: DataFrame, n_estimators: int, max_depth: int, learning_rate: float, min_leaf: int, seed: int):
+    """Trees and their say, from rows with ``features``, ``label`` (0/1) and weights ``_w``."""
+    models, says = [], []
+    for m in range(n_estimators):
+        dt = DecisionTreeClassifier(maxDepth=max_depth, minInstancesPerNode=min_leaf, weightCol="_w", labelCol="label",
+                                    featuresCol="features", predictionCol="_p", seed=seed + m)
+        model = dt.fit(tr)
+        p = model.transform(tr).drop("rawPrediction", "probability")
+        miss = (F.col("_p") != F.col("label")).cast("double")
+        err = p.agg(F.sum(F.col("_w") * miss) / F.sum("_w")).first()[0]
+        err = min(max(err, 1e-10), 1 - 1e-10)
+        if err >= 0.5:
+            break
+        a = learning_rate * math.log((1 - err) / err)
+        models.append(model)
+        says.append(a)
+        tr = cut_lineage(p.withColumn("_w", F.col("_w") * F.exp(F.lit(a) * miss)).drop("_p"))
+    return models, says
+
+
+def _samme_share(df: DataFrame, fitted, name: str) -> DataFrame:
+    """``df`` with the share of the say that votes for class 1."""
+    models, says = fitted
+    if not models:
+        return df.withColumn(name, F.lit(0.0))
+    share = F.lit(0.0)
+    for i, (model, a) in enumerate(zip(models, says)):
+        df = model.setPredictionCol(f"_v{i}").transform(df).drop("rawPrediction", "probability")
+        share = share + F.lit(a) * F.col(f"_v{i}")
+    return df.withColumn(name, share / F.lit(sum(says))).drop(*[f"_v{i}" for i in range(len(models))])
+
+
+def adaboost_samme(n_estimators: int = 5, max_depth: int = 2, seed: int = 42, learning_rate: float = 1.0, min_leaf: int = 1):
+    """Binary SAMME on balanced weights: weighted stumps/trees, one aggregate per round; each tree's say is
+    scaled by the learning rate.  ``p1`` is the share of the say that votes for class 1."""
     def method(train, test):
         tr, te = prepare(train, test, scale=False)
-        tr = balanced_weights(tr, "label")
-        models, alphas = [], []
-        for m in range(n_estimators):
-            dt = DecisionTreeClassifier(maxDepth=max_depth, weightCol="_w", labelCol="label",
-                                        featuresCol="features", predictionCol="_p", seed=seed + m)
-            model = dt.fit(tr)
-            p = model.transform(tr).drop("rawPrediction", "probability")
-            miss = (F.col("_p") != F.col("label")).cast("double")
-            err = p.agg(F.sum(F.col("_w") * miss) / F.sum("_w")).first()[0]
-            err = min(max(err, 1e-10), 1 - 1e-10)
-            if err >= 0.5:
-                break
-            a = math.log((1 - err) / err)
-            models.append(model)
-            alphas.append(a)
-            tr = cut_lineage(p.withColumn("_w", F.col("_w") * F.exp(F.lit(a) * miss)).drop("_p"))
-        if not models:
-            return te.withColumn("prediction", F.lit(0.0)).drop("features")
-        out, score = te, F.lit(0.0)
-        for i, (model, a) in enumerate(zip(models, alphas)):
-            out = model.setPredictionCol(f"_p{i}").transform(out).drop("rawPrediction", "probability")
-            score = score + F.lit(a) * (2 * F.col(f"_p{i}") - 1)
-        out = out.withColumn("prediction", (score > 0).cast("double"))
-        return out.drop("features", *[f"_p{i}" for i in range(len(models))])
+        fitted = _samme_fit(balanced_weights(tr, "label"), n_estimators, max_depth, learning_rate, min_leaf, seed)
+        out = _samme_share(te, fitted, "p1")
+        return out.withColumn("prediction", (F.col("p1") > 0.5).cast("double")).drop("features")
     return method
 
 
@@ -397,25 +409,23 @@ def gmm_cls(k: int = 4, seed: int = 42):
     return method
 
 
-def stacked_cls(seed: int = 42):
-    """Two base classifiers' class-1 probabilities stacked into a logistic regression."""
+def stacked_cls(seed: int = 42, n_estimators: int = 8, learning_rate: float = 0.85, num_trees: int = 10, max_depth: int = 10):
+    """SAMME stumps and a forest on z-scored features and balanced weights; their class-1 shares are stacked into a
+    weighted logistic regression."""
     def method(train, test):
-        tr, te = prepare(train, test, scale=False)
-        rf = RandomForestClassifier(numTrees=10, seed=seed, probabilityCol="_prf", rawPredictionCol="_rrf",
-                                    predictionCol="_yrf").fit(tr)
-        lr = LogisticRegression(probabilityCol="_plr", rawPredictionCol="_rlr", predictionCol="_ylr").fit(tr)
-
-        def base(d):
-            d = lr.transform(rf.transform(d))
-            return d.withColumn("_b", F.array(vector_to_array("_prf")[1], vector_to_array("_plr")[1]))
-
+        tr, te = prepare(train, test)
+        tr = balanced_weights(tr, "label")
+        boosted = _samme_fit(tr, n_estimators, 1, learning_rate, 1, seed)
+        rf = RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, seed=seed, weightCol="_w", probabilityCol="_prf",
+                                    rawPredictionCol="_rrf", predictionCol="_yrf").fit(tr)
         va = VectorAssembler(inputCols=["_b0", "_b1"], outputCol="_meta")
 
         def meta(d):
-            return va.transform(d.withColumn("_b0", F.col("_b")[0]).withColumn("_b1", F.col("_b")[1]))
+            d = rf.transform(_samme_share(d, boosted, "_b0"))
+            return va.transform(d.withColumn("_b1", vector_to_array("_prf")[1]))
 
-        top = LogisticRegression(featuresCol="_meta", labelCol="label", predictionCol="prediction").fit(meta(base(tr)))
-        out = top.transform(meta(base(te)))
+        top = LogisticRegression(featuresCol="_meta", labelCol="label", weightCol="_w", predictionCol="prediction").fit(meta(tr))
+        out = top.transform(meta(te))
         return out.select(*[c for c in te.columns if c != "features"], "prediction")
     return several_classes(method)
 
@@ -456,16 +466,15 @@ def fm_classify(dim: int = 8, ridge: float = 5.0, sweeps: int = 8, tol: float =
 
 def forest_importance(df: DataFrame, features=FEATURES, term: str = "termnum", num_trees: int = 10,
                       seed: int = 42) -> DataFrame:
-    """Impurity importances of a forest fitted on all terms before t, for each t."""
-    from gradeflow.operators.split import distinct_values
+    """Impurity importances of a forest fitted on all terms before t, for each t.
+
+    The input is written once for all fits; counts come from one aggregate.  Rows without a term are left out."""
+    df = write_cut(df.where(F.col(term).isNotNull()).select(term, "grdpts", *features), "importance")
+    sizes = {r[0]: r[1] for r in df.groupBy(term).count().collect()}  # one row per term
     rows = []
-    terms = distinct_values(df, term)
-    for t in terms[1:]:
+    for t in sorted(sizes)[1:]:
         train = df.where(F.col(term) < t)
         tr, _ = prepare(train, train.limit(0), features, scale=False)
         m = RandomForestRegressor(numTrees=num_trees, seed=seed, labelCol="grdpts").fit(tr)
-        n_test = df.where(F.col(term) == t).count()
-        for f, v in zip(features, m.featureImportances.toArray()):
-            rows.append((int(t), f, float(v), int(n_test)))
-    spark = df.sparkSession
-    return spark.createDataFrame(rows, f"{term} long, feature string, importance double, test_count long")
+        rows += [(int(t), f, float(v), int(sizes[t])) for f, v in zip(features, m.featureImportances.toArray())]
+    return df.sparkSession.createDataFrame(rows, f"{term} long, feature string, importance double, test_count long")
