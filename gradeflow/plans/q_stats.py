@@ -9,14 +9,16 @@ from gradeflow.models import baselines as B
 from gradeflow.operators import features as FT
 from gradeflow.operators import stats as S
 from gradeflow.plans.registry import oracle, register, sql_view
+from gradeflow.session import write_cut
 from gradeflow.sources.fixtures import importance_frame
 
 SPLIT_T = 10
 _FILL = ["lterm_gpa", "lterm_cum_gpa", "lterm_cgpa", "lterm_cum_cgpa"]
 
 
-def _eng(fx):
-    return FT.engineer(fx.ratings)
+def _eng(fx, cols):
+    """The columns of the engineered table, written once: statistics and the rows they apply to read that."""
+    return write_cut(FT.engineer(fx.ratings).select("sid", "cid", "termnum", *cols), "engineered")
 
 
 def _res(fx):
@@ -30,7 +32,7 @@ def _fill_sql(src: str, stat_src: str) -> str:
 
 @register("impute_fill", oracle(_fill_sql("v_engineered", "v_engineered"), "v_engineered"))
 def q_impute(fx):
-    out, _ = S.impute(_eng(fx).select("sid", "cid", "termnum", *_FILL), _FILL, "median")
+    out, _ = S.impute(_eng(fx, _FILL), _FILL, "median")
     return out
 
 
@@ -39,7 +41,7 @@ sql_view("v_eng_train", ["v_engineered"], f"SELECT * FROM v_engineered WHERE ter
 
 @register("impute_train_only", oracle(_fill_sql("v_engineered", "v_eng_train"), "v_engineered", "v_eng_train"))
 def q_impute_train(fx):
-    e = _eng(fx).select("sid", "cid", "termnum", *_FILL)
+    e = _eng(fx, _FILL)
     tr, te = e.where(F.col("termnum") < SPLIT_T), e.where(F.col("termnum") >= SPLIT_T)
     a, b, _ = S.impute(tr, _FILL, "median", test=te)
     return a.unionByName(b)
@@ -58,13 +60,13 @@ def _z_sql(src: str, fit: str) -> str:
 
 @register("zscore", oracle(_z_sql("v_engineered", "v_engineered"), "v_engineered"))
 def q_zscore(fx):
-    e = _eng(fx).select("sid", "cid", "termnum", *_Z)
+    e = _eng(fx, _Z)
     return S.scale(e, _Z)[0]
 
 
 @register("zscore_train", oracle(_z_sql("v_engineered", "v_eng_train"), "v_engineered", "v_eng_train"))
 def q_zscore_train(fx):
-    e = _eng(fx).select("sid", "cid", "termnum", *_Z)
+    e = _eng(fx, _Z)
     return S.scale(e, _Z, fit_on=e.where(F.col("termnum") < SPLIT_T))[0]
 
 
@@ -73,7 +75,7 @@ sql_view("v_eng_next", ["v_engineered"], f"SELECT * FROM v_engineered WHERE term
 
 @register("zscore_joint", oracle(_z_sql("v_eng_next", "v_eng_next"), "v_eng_next"))
 def q_zscore_joint(fx):
-    e = _eng(fx).select("sid", "cid", "termnum", *_Z)
+    e = _eng(fx, _Z)
     tr, te = e.where(F.col("termnum") < SPLIT_T), e.where(F.col("termnum") == SPLIT_T)
     params = S.scale_params(tr.unionByName(te), _Z)
     return S.apply_scale(tr, params, _Z).unionByName(S.apply_scale(te, params, _Z))
@@ -82,7 +84,7 @@ def q_zscore_joint(fx):
 @register("unscale", oracle("SELECT sid, cid, termnum, chrs, lterm_gpa, num_enrolled FROM v_engineered",
                             "v_engineered"))
 def q_unscale(fx):
-    e = _eng(fx).select("sid", "cid", "termnum", *_Z)
+    e = _eng(fx, _Z)
     z, params = S.scale(e, _Z)
     return S.unscale(z, params, _Z)
 
@@ -195,7 +197,7 @@ SELECT termnum, count(error) AS n, min(error) AS min, quantile_cont(error, 0.25)
        quantile_cont(error, 0.5) AS q50, quantile_cont(error, 0.75) AS q75, max(error) AS max
 FROM v_results GROUP BY termnum""", "v_results"))
 def q_error_dist(fx):
-    return S.error_quantiles(_res(fx), "termnum")
+    return S.error_quantiles(write_cut(_res(fx).select("termnum", "error"), "errors"), "termnum")
 
 
 _DESC = ["hsgpa", "sat_total_1600"]
