@@ -11,6 +11,7 @@ from gradeflow.operators import ids as ID
 from gradeflow.operators import prep as P
 from gradeflow.operators import stats as S
 from gradeflow.plans.registry import oracle, register, sql_view
+from gradeflow.session import write_cut
 from gradeflow.sources.fixtures import importance_frame
 from gradeflow.spec import RATINGS_SPEC
 
@@ -261,7 +262,7 @@ UNION ALL SELECT sid, cid, termnum, CAST(m.ns + m.nc + 1 AS BIGINT), lterm_gpa F
 
 @register("encode_onehot_shared", oracle("SELECT * FROM v_encoded", "v_encoded"))
 def q_onehot_shared(fx):
-    e = _engineered(fx)
+    e = write_cut(_engineered(fx).select("sid", "cid", "termnum", "chrs", "lterm_gpa"), "engineered")
     sm = ID.build_idmap(e, ["sid"], "sidx")
     cm = ID.build_idmap(e, ["cid"], "cidx")
     e = e.join(sm, "sid").join(cm, "cid")
