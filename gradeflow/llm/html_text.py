@@ -13,9 +13,9 @@ over many tasks, and each is compared with its nearest neighbours from another p
 partition four border rows are known to all tasks.  Only pages that hold covered open blocks are
 joined with what is covered.
 
-Prose inside a declared article is its author's words: passages that articles share are not
-boilerplate and stay out of the array; of an article's blocks only those that consist of links (share bars,
-"read more" lists) go if covered.  Where a page declares no article, its open blocks stand for it, less
+Every block of every page is a token of the array.  Prose inside a declared article is its author's words: passages
+that articles share are not boilerplate and stay in the text; of an article's blocks only those that consist of links
+(share bars, "read more" lists) go if covered.  Where a page declares no article, its open blocks stand for it, less
 those that are covered or consist of links.
 """
 
@@ -257,8 +257,8 @@ def asks(blocks: list[Block]) -> bool:
 # -- the suffix array ----------------------------------------------------------------
 
 def stream_of(blocks: list[Block]) -> list[tuple[int, int, bytes]]:
-    """(position, words, hash) of the tokens in the array: every block but an article's prose."""
-    return [(i, b.words, xxhash.xxh64_digest(b.text)) for i, b in enumerate(blocks) if b.region != ARTICLE or b.is_links]
+    """(position, words, hash) of the tokens in the array: all blocks of the page."""
+    return [(i, b.words, xxhash.xxh64_digest(b.text)) for i, b in enumerate(blocks)]
 
 
 def suffixes(tokens: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, list[bytes], list[int]]]:
