@@ -41,6 +41,8 @@ RATE, DAMPING = 0.5, 3.0
 CURVE = 0.1                      # curvature a class is given: bounds a step
 FLUSH = 200_000
 BLOCK = 1024                     # weight rows summed together across tasks
+FEW = 8                          # gradients of a weight row up to which rows are added rank by rank
+CEILING = 60.0                   # exponents above are cut
 END = b""                        # the token after the last word
 
 
@@ -152,20 +154,41 @@ def buckets(ctx: list[bytes]) -> np.ndarray:
             two | np.uint64(3 << 40))]).astype(np.int64)
 
 
+def group_sums(g: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, how often each occurs, sums of its rows of ``g``).  Most keys of a batch occur a few times: their
+    first rows are added together, then their second ones; a frequent key's rows are summed by themselves."""
+    order = np.argsort(key.astype(np.uint16), kind="stable")  # radix sort
+    at = key[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    count = np.diff(np.append(first, len(at)))
+    total = np.take(g, order[first], axis=0)
+    some = np.flatnonzero((count > 1) & (count <= FEW))
+    for rank in range(1, FEW):
+        some = some[count[some] > rank]
+        if not len(some):
+            break
+        total[some] += np.take(g, order[first[some] + rank], axis=0)
+    for k in np.flatnonzero(count > FEW):
+        total[k] = np.take(g, order[first[k]:first[k] + count[k]], axis=0).sum(axis=0)
+    return at[first], count, total
+
+
 @dataclass
 class Softmax:
     bias: np.ndarray
     weights: np.ndarray
     seen: np.ndarray
     work: np.ndarray | None = None
+    bounded: bool | None = None
 
     @classmethod
     def start(cls, class_n: np.ndarray) -> Softmax:
         p = (class_n + 1.0) / (class_n.sum() + CLASSES)
         return cls(np.log(p).astype(np.float32), np.zeros((BUCKETS, CLASSES), np.float32), np.zeros(BUCKETS, np.float32))
 
-    def probabilities(self, f: np.ndarray) -> np.ndarray:
-        """[token, class]; the array is used again by the next call."""
+    def exponentials(self, f: np.ndarray, bounded: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """[token, class] and their sums per token; the array is used again by the next call.  ``bounded``: no
+        exponent reaches the ceiling."""
         n = f.shape[1]
         if self.work is None or self.work.shape[1] < n:
             self.work = np.empty((2, max(n, BATCH), CLASSES), np.float32)
@@ -174,30 +197,37 @@ class Softmax:
         for k in range(1, FEATURES):
             z += np.take(self.weights, f[k], axis=0, out=add, mode="clip")
         z += self.bias
-        np.exp(np.minimum(z, 60, out=z), out=z)
-        z *= (1 / z.sum(axis=1))[:, None]
+        if not bounded:
+            np.minimum(z, np.float32(CEILING), out=z)
+        np.exp(z, out=z)
+        return z, np.einsum("ij->i", z)
+
+    def probabilities(self, f: np.ndarray) -> np.ndarray:
+        """[token, class]; the array is used again by the next call."""
+        z, total = self.exponentials(f)
+        z *= (1 / total)[:, None]
         return z
 
     def step(self, f: np.ndarray, cls: np.ndarray) -> None:
         """One gradient step, damped by how often a row has been seen."""
+        self.bounded = None
         g = self.probabilities(f)
         np.negative(g, out=g)
         g[np.arange(len(cls)), cls] += 1
         for k in range(FEATURES):
-            order = np.argsort(f[k].astype(np.uint16), kind="stable")
-            at = f[k][order]
-            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            row = at[first]
-            self.seen[row] += np.diff(np.append(first, len(at)))
-            total = np.add.reduceat(np.take(g, order, axis=0, out=self.work[1, :len(at)], mode="clip"), first, axis=0)
+            row, count, total = group_sums(g, f[k])
+            self.seen[row] += count
             total *= (RATE / (self.seen[row] * CURVE + DAMPING))[:, None]
             self.weights[row] += total
 
     def log10(self, f: np.ndarray, cls: np.ndarray) -> np.ndarray:
         out = np.empty(len(cls))
+        if self.bounded is None:  # scoring leaves the weights as they are
+            self.bounded = bool(FEATURES * self.weights.max() + self.bias.max() < CEILING)
         for at in range(0, len(cls), BATCH):
-            p = self.probabilities(f[:, at:at + BATCH])
-            out[at:at + BATCH] = np.log10(np.maximum(p[np.arange(len(p)), cls[at:at + BATCH]], 1e-30))
+            z, total = self.exponentials(f[:, at:at + BATCH], self.bounded)
+            p = z[np.arange(len(z)), cls[at:at + BATCH]] / total
+            out[at:at + BATCH] = np.log10(np.maximum(p, 1e-30))
         return out
 
 

@@ -75,3 +75,26 @@ def test_contexts_stay_inside_a_text():
     a, b = np.array([7, 8, 9], np.uint16).tobytes(), np.array([7, 8], np.uint16).tobytes()
     both, alone = lm.buckets([a, b, b""]), lm.buckets([b])
     assert (both[:, 3:] == alone).all() and (both[:, :2] == alone).all()
+
+
+def test_group_sums_add_every_row():
+    rng = np.random.default_rng(3)
+    for high in (1, 3, 40, 5000):  # frequent keys, rare keys, both
+        key = np.minimum(rng.integers(0, high, 1000), rng.integers(0, high, 1000))
+        g = rng.normal(size=(1000, lm.CLASSES)).astype(np.float32)
+        row, count, total = lm.group_sums(g, key)
+        assert (row == np.unique(key)).all() and (count == np.unique(key, return_counts=True)[1]).all()
+        assert np.allclose(total, [g[key == k].sum(0, dtype=np.float64) for k in row], atol=1e-4)
+
+
+def test_scores_with_and_without_ceiling():
+    rng = np.random.default_rng(2)
+    f, cls = rng.integers(0, lm.BUCKETS, (lm.FEATURES, 6000)), rng.integers(0, lm.CLASSES, 6000)
+    model = lm.Softmax.start(np.ones(lm.CLASSES, np.int64))
+    for size in (1, 100):  # below and above the ceiling
+        model.weights[:] = rng.normal(size=model.weights.shape) * size
+        model.bounded = None
+        z = np.minimum(model.weights[f].sum(0) + model.bias, lm.CEILING).astype(np.float64)
+        want = (z - np.log(np.exp(z).sum(1))[:, None])[np.arange(6000), cls] / math.log(10)
+        assert np.allclose(model.log10(f, cls), np.maximum(want, -30), atol=1e-3)
+        assert model.bounded == (size == 1)
