@@ -146,6 +146,15 @@ def test_gradient_blocks_and_chunks(spark, monkeypatch):
     assert one.keys() == many.keys() and max(abs(one[k] - many[k]) for k in one) < 1e-9
 
 
+def test_gradient_cells_grow_with_the_ratings():
+    """A cell moves two blocks of factors: their number follows the ratings, not the product of users and items."""
+    from gradeflow.models import blocks
+    for users, items, ratings in ((15_000, 20_000, 270_000), (900_000, 1_200_000, 16_000_000), (2_000_000, 500, 16_000_000)):
+        u, i = blocks.block_counts(ratings, users, items)
+        assert u * i <= 4 * ratings / blocks.CHUNK + 4 and users / u <= blocks.BLOCK_KEYS and items / i <= blocks.BLOCK_KEYS
+    assert blocks.block_counts(0, 0, 0) == (1, 1)
+
+
 def engineered(spark, n=400, seed=3):
     from gradeflow.models.ml import FEATURES
     rng = np.random.default_rng(seed)
