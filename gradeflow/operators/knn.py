@@ -24,7 +24,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from gradeflow.functions.arrays import matrix
 from gradeflow.session import cut_lineage
 
-MAX_PIVOTS = 256      # bounds what is known to every task: MAX_PIVOTS x (dimensions + k)
+MAX_PIVOTS = 256      # pivots at most where vectors are long
+MAX_NUMBERS = 16_384  # coordinates of pivots at most where vectors are short, bounds what is known to every task
 CHUNK_ROWS = 2048     # base rows of a chunk at most
 BLOCK_QUERIES = 512   # queries of a block at most
 SLACK = 1e-9          # relative allowance for the rounding of bounds
@@ -67,10 +68,11 @@ def _type_of(df: DataFrame, column: str):
     return df.schema[column].dataType
 
 
-def pivots_of(base: DataFrame, most: int = MAX_PIVOTS) -> np.ndarray:
+def pivots_of(base: DataFrame, most: int | None = None) -> np.ndarray:
     """Distinct vectors of the rows with the smallest hashes: about the square root of their number, ``most``
-    at most."""
-    n = base.count()
+    at most (of short vectors more than of long ones, so that cells stay small when the table grows)."""
+    n, width = base.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    most = most or max(MAX_PIVOTS, MAX_NUMBERS // max(width or 1, 1))
     wanted = int(min(most, max(1, n ** 0.5)))
     rows = base.select("vec", F.xxhash64("bid").alias("h")).orderBy("h").limit(wanted).collect()
     return np.unique(np.array([r["vec"] for r in rows], dtype=np.float64), axis=0) if rows else np.zeros((0, 0))
@@ -115,8 +117,6 @@ def visits(queries: DataFrame, pivots: np.ndarray, cells: dict[int, tuple[float,
     for row, c in enumerate(cid):
         d = sorted(cells[c][2])[:k]
         near[row, :len(d)] = d
-    between = np.sqrt(squared(pivots, pivots))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, BLOCK_QUERIES):
@@ -127,7 +127,7 @@ def visits(queries: DataFrame, pivots: np.ndarray, cells: dict[int, tuple[float,
                 reach = np.partition(above, k - 1, axis=1)[:, k - 1] if above.shape[1] > k - 1 else np.full(len(d), np.inf)
                 reach = reach * (1 + SLACK) + SLACK * (1 + d.max(1))
                 least = np.maximum(dc - hi, lo - dc)  # rings
-                gap = between[mine][:, cid]
+                gap = np.sqrt(squared(pivots[mine], pivots[cid]))
                 with np.errstate(divide="ignore", invalid="ignore"):
                     plane = (dc ** 2 - d[np.arange(len(d)), mine][:, None] ** 2) / (2 * gap)
                 least = np.where(gap > 0, np.maximum(least, plane), least)
@@ -138,6 +138,17 @@ def visits(queries: DataFrame, pivots: np.ndarray, cells: dict[int, tuple[float,
     return queries.select("qid", "vec").mapInArrow(run, f"cell int, d double, reach double, qid {kind}, vec array<double>")
 
 
+def k_least(d: np.ndarray, k: int, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of the k least values of each row that don't exceed its limit, ties by the smaller place."""
+    if d.shape[1] > k:
+        limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1])
+    q, b = np.nonzero(d <= limit[:, None])  # a few a row, but for ties
+    order = np.lexsort((b, d[q, b], q))
+    q, b = q[order], b[order]
+    rank = np.arange(len(q)) - np.searchsorted(q, q)
+    return q[rank < k], b[rank < k]
+
+
 def _meet(k: int, qid_type: pa.DataType, bid_type: pa.DataType, y_type: pa.DataType):
     """A block of queries and a chunk to each query's k nearest rows of the chunk within reach."""
     schema = pa.schema([("qid", qid_type), ("bid", bid_type), ("y", y_type), ("d2", pa.float64())])
@@ -150,13 +161,9 @@ def _meet(k: int, qid_type: pa.DataType, bid_type: pa.DataType, y_type: pa.DataT
                 queries = cell["qvecs"].to_numpy().reshape(len(reach), -1)
                 base = cell["vecs"].to_numpy().reshape(len(cell["ids"]), -1)
                 d = squared(queries, base)
-                # places are in order of ids, so a stable sort settles ties
-                order = np.argsort(d, axis=1, kind="stable")[:, :k]
-                near = np.take_along_axis(d, order, 1)
-                q, rank = np.nonzero(near <= ((reach * (1 + SLACK)) ** 2)[:, None])
+                q, b = k_least(d, k, (reach * (1 + SLACK)) ** 2)
                 if not len(q):
                     continue
-                b = order[q, rank]
                 yield pa.RecordBatch.from_arrays([cell["qids"].take(pa.array(q)), cell["ids"].take(pa.array(b)),
                                                   cell["ys"].take(pa.array(b)), pa.array(d[q, b])], schema=schema)
     return run

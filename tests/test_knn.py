@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gradeflow.operators import knn as K
 
@@ -54,3 +55,29 @@ def test_largest_products(spark):
     got = {(r["qid"], r["bid"]) for r in K.nearest(queries, base, 3).collect()}
     want = {(i, int(j)) for i, row in enumerate(q @ b.T) for j in np.argsort(-row)[:3]}
     assert got == want
+
+
+def test_more_pivots_for_short_vectors(spark):
+    """Cells must not grow in proportion to the table."""
+    b = spark.range(120_000).select(F.col("id").alias("bid"), F.array(F.col("id") * 1.0).alias("vec"))
+    assert len(K.pivots_of(b)) > K.MAX_PIVOTS
+    assert len(K.pivots_of(b.select("bid", F.array_repeat(F.col("vec")[0], 200).alias("vec")))) <= K.MAX_PIVOTS
+
+
+def test_least_of_each_row():
+    rng = np.random.default_rng(1)
+    for width, k in ((1, 3), (3, 3), (50, 4)):
+        d = rng.integers(0, 6, size=(40, width)).astype(float)
+        limit = rng.uniform(0, 6, 40)
+        q, b = K.k_least(d, k, limit)
+        want = [(i, j) for i, row in enumerate(d) for j in np.argsort(row, kind="stable")[:k] if row[j] <= limit[i]]
+        assert list(zip(q.tolist(), b.tolist())) == want
+
+
+def test_equal_train_rows_are_searched_k_times(spark):
+    """Many copies of a vector: the k first by key answer for all of them, and no more are searched."""
+    from gradeflow.models import ml
+    train = spark.createDataFrame([(i, float(i % 3), float(i)) for i in range(600)] + [(None, 0.0, 1.0)], "ord long, a double, y double")
+    test = spark.createDataFrame([(0.0,), (0.9,), (0.9,)], "a double")
+    got = {(r["vec"][0], r["rank"], r["y"]) for r in ml.neighbours(train, test, 4, ["a"], "y", "ord").collect()}
+    assert got == {(0.0, j + 1, 3.0 * j) for j in range(4)} | {(0.9, j + 1, 3.0 * j + 1) for j in range(4)}
