@@ -204,3 +204,50 @@ def test_registered_svd_settles_on_noise(spark):
         got = q_models.q_lookup(SimpleNamespace(ratings=df)).collect()
     assert len(got) == 70
     assert max(abs(r["cell"] - want[users.index(r["sid"]), items.index(r["cid"])]) for r in got) < 1e-4
+
+
+@pytest.mark.parametrize("repeats", [1, 3])
+def test_svd_of_many_blocks_is_numpys(spark, monkeypatch, repeats):
+    """Narrow blocks of vectors, many blocks of users and items, each vector block one partition a block; singular values
+    that come several times (the same ratings under other keys) come as often."""
+    from gradeflow.models import krylov
+    rng = np.random.default_rng(5)
+    n, m, k = 60, 25, 4
+    rows = [(n * r + i, f"c{m * r + j:03d}", float(np.round(v, 2))) for i, j, v in
+            ((i, j, rng.uniform(0, 4)) for i in range(n) for j in range(m) if rng.random() < 0.3) for r in range(repeats)]
+    df = spark.createDataFrame(rows, "sid long, cid string, grdpts double")
+    data = {(u, c): y for u, c, y in rows}
+    users, items = sorted({x[0] for x in data}), sorted({x[1] for x in data})
+    fill = np.mean([np.mean([v for (_, i), v in data.items() if i == c]) for c in items])
+    u, s, vt = np.linalg.svd(np.array([[data.get((a, c), fill) for c in items] for a in users]), full_matrices=False)
+    monkeypatch.setattr(krylov, "LARGE", 0)
+    monkeypatch.setattr(krylov, "BLOCK_KEYS", 16)
+    report, made = {}, []
+    init = krylov.Basis.__init__
+    monkeypatch.setattr(krylov.Basis, "__init__", lambda self, totals: (init(self, totals), made.append(self))[0])
+    uf, vf, _ = MF.svd_factors(df, k, report=report)
+    assert np.abs(report["values"] - s[:k]).max() < 1e-6 * s[0]
+    basis = made[-1]
+    assert len(basis.parts) > 5 and {p.getNumPartitions() for p in basis.parts} == {basis.beside().getNumPartitions()} != {1}
+    uf, vf = ({r[0]: r[1] for r in t.collect()} for t in (uf, vf))
+    got = np.array([uf[x] for x in users]) @ np.array([vf[c] for c in items]).T
+    if repeats == 1:
+        assert np.abs(got - (u[:, :k] * s[:k]) @ vt[:k]).max() < 1e-6
+    assert np.abs(np.linalg.svd(got, compute_uv=False)[:k] - s[:k]).max() < 1e-6 * s[0]
+
+
+def test_svd_products_in_32_bits(spark, monkeypatch):
+    """Where the stop lies far above their rounding, products travel in 32 bits and the values stay those of 64 bits."""
+    from gradeflow.models import krylov
+    rng = np.random.default_rng(6)
+    rows = [(i, f"c{j:03d}", float(np.round(rng.uniform(0, 4), 2))) for i in range(150) for j in range(60) if rng.random() < 0.1]
+    df = spark.createDataFrame(rows, "sid long, cid string, grdpts double")
+    kinds, sent, values = [], krylov.sent, []
+    monkeypatch.setattr(krylov, "sent", lambda *a: (kinds.append(a[3]), sent(*a))[1])
+    monkeypatch.setattr(krylov, "EXHAUSTED", 1e-4)
+    for share in (0.01, 0.0):
+        monkeypatch.setattr(krylov, "NARROW", share)
+        report = {}
+        MF.svd_factors(df, 3, report=report)
+        values.append(report["values"])
+    assert {np.float32, np.float64} == set(kinds) and np.abs(values[0] - values[1]).max() < 1e-5 * values[1][0]
