@@ -175,3 +175,35 @@ def test_eps_insensitive_reaches_the_best_line(spark):
                for i, j in itertools.combinations(range(16), 2) for a in (y[i] - eps, y[i] + eps) for b in (y[j] - eps, y[j] + eps))
     got = loss(np.array([r["pred"] for r in sorted(out, key=lambda r: r["chrs"])]))
     assert best - 1e-12 <= got < best + 2e-3 and report["jobs"] <= 60
+
+
+def test_medians_of_all_earlier_terms_are_those_of_each(spark):
+    """One count of the values gives each term the medians of the rows before it: ties, NULLs, NaN, a column without values."""
+    from gradeflow.operators.stats import earlier_medians, impute_values
+    rng = np.random.default_rng(2)
+    rows = [(int(t), None if rng.random() < 0.2 else float(rng.integers(0, 9)), float(rng.normal()) if rng.random() < 0.95 else float("nan"),
+             None if t < 3 else 1.0, None) for t in rng.integers(0, 6, 400)]
+    df = spark.createDataFrame(rows, "termnum long, a double, b double, late double, empty double").repartition(7)
+    got = earlier_medians(df, ["a", "b", "late", "empty"], "termnum", [1, 2, 3, 4, 5])
+    for t, medians in got.items():
+        assert medians == impute_values(df.where(F.col("termnum") < t), ["a", "b", "late", "empty"])
+    assert got[3]["late"] is None and got[4]["late"] == 1.0 and got[5]["empty"] is None
+
+
+def test_importances_count_values_once_for_all_terms(spark, monkeypatch):
+    """The medians don't cost a job per term, and the forests are those of medians taken term by term."""
+    from gradeflow.operators import stats as S
+    train, test = classes(spark, 200)
+    df = train.unionByName(test).withColumn("termnum", (F.col("sid") % 4).cast("long")).withColumn("grdpts", F.col("label") * 3 + F.col("chrs"))
+    df = df.withColumn("chrs", F.when(F.col("sid") % 5 > 0, F.col("chrs"))).coalesce(1)
+    asked = []
+    plain = S.exact_quantiles
+    monkeypatch.setattr(S, "exact_quantiles", lambda *a, **k: (asked.append(a), plain(*a, **k))[1])
+    got = {(r["termnum"], r["feature"]): r["importance"] for r in ML.forest_importance(df, num_trees=3).collect()}
+    assert len(got) == 3 * len(ML.FEATURES) and len(asked) == 0
+    written = ML.write_cut(df.select("termnum", "grdpts", *ML.FEATURES))
+    for t in (1, 2, 3):
+        early = written.where(F.col("termnum") < t)
+        tr, _ = ML.prepare(early, early.limit(0), scale=False)
+        m = ML.RandomForestRegressor(numTrees=3, seed=42, labelCol="grdpts").fit(tr)
+        assert np.allclose([got[t, f] for f in ML.FEATURES], m.featureImportances.toArray())
