@@ -29,7 +29,7 @@ from gradeflow.models.blocks import indexed
 from gradeflow.session import cut_lineage
 
 GUARD = 18            # columns of a block beyond the wanted rank, on tables of few entries
-LARGE = 1 << 20       # entries from which a block has the wanted rank's columns only: a round costs its vectors there, not its jobs
+LARGE = 1 << 20       # entries from which a round costs its vectors, not its jobs: a block has the wanted rank's columns only
 CANCELLED = 1e-5      # share of a product's square left outside the basis below which it is orthogonalised twice
 EXHAUSTED = 1e-12     # a new direction below this share of the largest squared singular value is rounding
 BLOCK_KEYS = 1 << 19  # users (or items) of a block on average, at most
@@ -173,9 +173,9 @@ def truncated_svd(entries: DataFrame, fill: float, k: int, user: str, item: str,
         entries.join(users.select(user, F.col("block").alias("ub"), F.col("at").alias("ui")), user)
                .join(items.select(item, F.col("block").alias("ib"), F.col("at").alias("ii")), item)
                .select("ub", "ib", "ui", "ii", F.col("_r").alias("r")), ub, ib)
-    # products with R may travel in 32 bits where their rounding, |R|^2 * 2^-24 at most, is far below the stop
+    # on large tables products with R travel in 32 bits where their rounding, |R|^2 * 2^-24 at most, is far below the stop
     top = (fill * n * m + total) ** 2 / (n * m)
-    kind = np.float32 if far_u * far_i * 2.0 ** -24 <= NARROW * EXHAUSTED * top else np.float64
+    kind = np.float32 if size >= LARGE and far_u * far_i * 2.0 ** -24 <= NARROW * EXHAUSTED * top else np.float64
     wide = min(k + GUARD, m)
     b = wide if size < LARGE else min(k, m)
     max_rounds = math.ceil(max_rounds * wide / b)
