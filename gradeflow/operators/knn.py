@@ -28,6 +28,7 @@ MAX_PIVOTS = 256      # pivots at most where vectors are long
 MAX_NUMBERS = 16_384  # coordinates of pivots at most where vectors are short, bounds what is known to every task
 CHUNK_ROWS = 2048     # base rows of a chunk at most
 BLOCK_QUERIES = 512   # queries of a block at most
+LONGEST = 16_384      # base rows that every query is compared with first in a search for the largest product
 SLACK = 1e-9          # relative allowance for the rounding of bounds
 
 
@@ -228,3 +229,79 @@ def largest_product(queries: DataFrame, base: DataFrame) -> tuple[DataFrame, Dat
     extra = F.sqrt(F.greatest(F.lit(longest) - norm2(F.col("vec")), F.lit(0.0)))
     return (queries.withColumn("vec", F.concat("vec", F.array(F.lit(0.0)))),
             base.withColumn("vec", F.concat("vec", F.array(extra))))
+
+
+def _norm(c: str):
+    return F.sqrt(F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x * x))
+
+
+def largest(queries: DataFrame, base: DataFrame, report: dict | None = None) -> DataFrame:
+    """(qid, bid): the base row of the largest dot product with each query, ties to the smaller bid.
+
+    Exact.  Products are compared as the distances of ``largest_product``.  Every query meets the ``LONGEST`` base rows of the
+    largest norm where it lies; no other row's product exceeds the norms' product, which settles most queries.  The
+    others are packed into blocks by the least norm that could still win, the other base rows into chunks by norm, and a block
+    meets the chunks that reach its norm; queries move once.  Arguments as for ``nearest``; ``report`` receives the
+    number of queries that are not settled at first."""
+    queries, base = largest_product(*(d.where(f"{key} IS NOT NULL AND vec IS NOT NULL").select(key, F.col("vec").cast("array<double>").alias("vec"))
+                                      for d, key in ((queries, "qid"), (base, "bid"))))
+    qid, bid = _type_of(queries, "qid"), _type_of(base, "bid")
+    base = cut_lineage(base.select("bid", "vec", _norm(F.slice("vec", F.lit(1), F.size("vec") - 1)).alias("norm")))
+    first = base.orderBy(F.desc("norm"), "bid").limit(LONGEST + 1).collect()  # these rows
+    if not first:
+        return queries.sparkSession.createDataFrame([], f"qid {qid.simpleString()}, bid {bid.simpleString()}")
+    all_met = len(first) <= LONGEST
+    least = first[-1]["norm"]  # the largest norm of the others
+    first = first[:LONGEST]
+    first.sort(key=lambda r: r["bid"])  # so that a smaller place means a smaller id
+    ids, vecs = pa.array([r["bid"] for r in first], to_arrow_type(bid)), np.array([r["vec"] for r in first])
+    widest = float((vecs ** 2).sum(1).max())  # of every base row, but for rounding
+
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK_QUERIES):
+                b = whole.slice(at, BLOCK_QUERIES)
+                q = matrix(b.column("vec"))
+                d2 = squared(q, vecs)
+                best = d2.argmin(1)
+                d2 = d2[np.arange(len(q)), best]
+                own = (q ** 2).sum(1)
+                # a base row of a smaller norm than this is farther away
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    norm = (widest + own - d2 - 1e-3 * SLACK * (widest + own)) / (2 * np.sqrt(own))
+                yield pa.RecordBatch.from_arrays([b.column("qid"), b.column("vec"), ids.take(pa.array(best)), pa.array(d2),
+                                                  pa.array(np.where(own > 0, norm, 0.0))], ["qid", "vec", "bid", "d2", "norm"])
+    met = cut_lineage(queries.mapInArrow(settled, f"qid {qid.simpleString()}, vec array<double>, bid {bid.simpleString()}, d2 double, norm double"))
+    open_ = met.where(F.lit(not all_met) & (F.col("norm") <= F.lit(least)))
+    left = open_.count()
+    if report is not None:
+        report.update(open=left)
+    found = met.select("qid", "d2", "bid")
+    if left:
+        qid_type, bid_type, y_type = to_arrow_type(qid), to_arrow_type(bid), pa.float64()
+
+        def block(t: pa.Table) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{
+                "least": t.column("norm").to_numpy().min(), "qids": t.column("qid").to_pylist(), "reach": np.sqrt(t.column("d2").to_numpy()).tolist(),
+                "qvecs": matrix(t.column("vec").combine_chunks()).ravel().tolist()}], schema=pa.schema([
+                    ("least", pa.float64()), ("qids", pa.list_(qid_type)), ("reach", pa.list_(pa.float64())), ("qvecs", pa.list_(pa.float64()))]))
+
+        def chunk(t: pa.Table) -> pa.RecordBatch:
+            t = t.sort_by("bid")
+            return pa.RecordBatch.from_pylist([{
+                "most": t.column("norm").to_numpy().max(), "ids": t.column("bid").to_pylist(), "ys": [None] * len(t),
+                "vecs": matrix(t.column("vec").combine_chunks()).ravel().tolist()}], schema=pa.schema([
+                    ("most", pa.float64()), ("ids", pa.list_(bid_type)), ("ys", pa.list_(y_type)), ("vecs", pa.list_(pa.float64()))]))
+
+        def packed(rows, key, most, close, schema):
+            ordered = rows.withColumn("cell", F.lit(0)).repartitionByRange("norm", key).sortWithinPartitions("norm")
+            return cut_lineage(ordered.mapInArrow(_packer(most, close), schema))
+        blocks = packed(open_, "qid", BLOCK_QUERIES, block, f"least double, qids array<{qid.simpleString()}>, reach array<double>, qvecs array<double>")
+        chunks = packed(base.where(F.col("norm") <= F.lit(least)), "bid", CHUNK_ROWS, chunk,
+                        f"most double, ids array<{bid.simpleString()}>, ys array<double>, vecs array<double>")
+        meet = blocks.join(chunks, F.col("most") >= F.col("least"))
+        nearer = meet.select("qids", "qvecs", "reach", "ids", "ys", "vecs").mapInArrow(
+            _meet(1, qid_type, bid_type, y_type), f"qid {qid.simpleString()}, bid {bid.simpleString()}, y double, d2 double")
+        found = found.unionByName(nearer.select("qid", "d2", "bid"))
+    best = found.groupBy("qid").agg(F.min(F.struct("d2", "bid")).alias("best")) if left else found.withColumn("best", F.struct("d2", "bid"))
+    return best.select("qid", F.col("best.bid").alias("bid"))
