@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from gradeflow.operators.prep import null_safe_join
 
+HEAVY = 1 << 16  # rows of a user that are ranked together, about, at most
+
 OPS: dict[str, Callable] = {"lt": operator.lt, "le": operator.le, "gt": operator.gt,
                             "ge": operator.ge, "eq": operator.eq, "ne": operator.ne}
 
@@ -158,25 +160,33 @@ def random_split(df: DataFrame, p: float, seed: int = 42, keys: Sequence[str] |
 
 
 def holdout_k(df: DataFrame, k: int, seed: int = 42, user: str = "sid", item: str = "cid",
-              salts: int = 16) -> DataFrame:
+              salts: int | None = None) -> DataFrame:
     """Hold out k pseudo-random ratings of each user (test), the rest train.
 
     Each (user, item) has a draw of its own, so different users hold out different
     items.  Rows are labelled themselves: of repeated pairs as many are held out as fall among the
-    k, and a NULL user is a user like any other.  Exact top-k in two rounds so a heavy user is not sorted in
-    one task: the user's rows are spread over ``salts`` groups, each ranks its rows, the
-    user's k-th smallest of the groups' candidates is the limit that labels all rows."""
-    h = df.withColumn("_h", row_hash(seed, user, item)).withColumn("_x", F.xxhash64(*df.columns))
-    h = h.withColumn("_salt", F.pmod(F.xxhash64(F.col(item), F.lit(seed + 1)), F.lit(salts)))
+    k, and a NULL user is a user like any other.  Rows are dealt once, by user, and ranked.  A user of more than
+    ``HEAVY`` rows (with ``salts``: every user) is spread over several groups by item, so it is not sorted in one task: each
+    group ranks its rows, the user's k-th smallest of the groups' candidates is the limit that labels all
+    of them where they lie.  Draws are made after rows are dealt."""
+    if salts is None:
+        heavy = df.groupBy(user).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HEAVY)  # few: a share of the rows each
+        groups = F.broadcast(heavy.select(F.col(user).alias("_u"), F.ceil(F.col("_n") / F.lit(HEAVY)).alias("_groups")))
+        h = df.join(groups, F.col(user).eqNullSafe(F.col("_u")), "left").drop("_u")
+    else:
+        h = df.withColumn("_groups", F.lit(salts))
+    h = h.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(F.col(item), F.lit(seed + 1)), F.col("_groups")), F.lit(0)))
+    h = h.repartition(user, "_salt")
+    h = h.withColumn("_h", F.unhex(row_hash(seed, user, item))).withColumn("_x", F.xxhash64(*df.columns))
     h = h.withColumn("_r", F.row_number().over(W.partitionBy(user, "_salt").orderBy("_h", item, "_x")))
     # rows of one pair share the salt, so (draw, item, rank) tells all rows of a user apart, in the order of the draws
-    place = F.struct("_h", F.coalesce(F.col(item).cast("string"), F.lit("")), "_salt", "_r")
-    cand = h.where(F.col("_r") <= k).select(user, place.alias("_at"))
+    h = h.withColumn("_at", F.when(F.col("_groups").isNotNull(), F.struct("_h", F.coalesce(F.col(item).cast("string"), F.lit("")), "_salt", "_r")))
+    cand = h.where(F.col("_groups").isNotNull() & (F.col("_r") <= k)).select(user, "_at")
     last = cand.withColumn("_n", F.row_number().over(W.partitionBy(user).orderBy("_at"))).where(F.col("_n") <= k) \
                .groupBy(user).agg(F.max("_at").alias("_last"))
-    out = null_safe_join(h.withColumn("_at", place), last, [user])
-    return out.withColumn("split", F.when(F.col("_at") <= F.col("_last"), "test").otherwise("train")) \
-              .select(*df.columns, "split")
+    out = null_safe_join(h, last if salts else F.broadcast(last), [user])  # a row a heavy user
+    held = F.when(F.col("_groups").isNull(), F.col("_r") <= k).otherwise(F.col("_at") <= F.col("_last"))
+    return out.withColumn("split", F.when(held, "test").otherwise("train")).select(*df.columns, "split")
 
 
 def seed_unseen_items(train: DataFrame, test: DataFrame, k: int = 3, item: str = "cid",
