@@ -90,7 +90,7 @@ def segments(at: np.ndarray, score: np.ndarray, n: int, other: float) -> list[tu
         first, low = i, before
         while True:
             j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= low:
+            while j >= 0 and stack[j][2] > low:  # of segments that score the same the leftmost counts
                 j -= 1
             if j < 0 or stack[j][3] >= total:
                 stack.append((first, i + 1, low, total))
