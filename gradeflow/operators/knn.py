@@ -100,7 +100,7 @@ def packed_base(base: DataFrame, pivots: np.ndarray, k: int) -> DataFrame:
         return pa.RecordBatch.from_pylist([{
             "cell": t.column("cell")[0].as_py(), "lo": float(d.min()), "hi": float(d.max()), "near": np.sort(d)[:k].tolist(),
             "ids": t.column("bid").to_pylist(), "ys": t.column("y").to_pylist(),
-            "vecs": matrix(t.column("vec").combine_chunks()).ravel().tolist()}], schema=pa.schema([
+            "vecs": matrix(t.column("vec").combine_chunks()).ravel()}], schema=pa.schema([
                 ("cell", pa.int32()), ("lo", pa.float64()), ("hi", pa.float64()), ("near", pa.list_(pa.float64())),
                 ("ids", pa.list_(id_type)), ("ys", pa.list_(y_type)), ("vecs", pa.list_(pa.float64()))]))
     ordered = rows.repartitionByRange("cell", "d", "bid").sortWithinPartitions("cell", "d", "bid")
@@ -150,6 +150,32 @@ def k_least(d: np.ndarray, k: int, limit: np.ndarray) -> tuple[np.ndarray, np.nd
     return q[rank < k], b[rank < k]
 
 
+def nearest_pairs(queries: np.ndarray, base: np.ndarray, k: int, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, squared distance) of the k nearest base rows of each query within its limit, ties by the smaller place.
+    A matrix product gives all distances but for their rounding; only pairs that may be among the k are added up."""
+    own, other = (queries ** 2).sum(1), (base ** 2).sum(1)
+    about = own[:, None] + other - 2 * (queries @ base.T)
+    if not np.isfinite(about).all():
+        d = squared(queries, base)
+        q, b = k_least(d, k, limit)
+        return q, b, d[q, b]
+    rounding = 1e-3 * SLACK * (own + other.max())  # far more than that of either sum
+    at_most = limit + rounding
+    if about.shape[1] > k:
+        at_most = np.minimum(at_most, np.partition(about, k - 1, axis=1)[:, k - 1] + 2 * rounding)
+    q, b = np.nonzero(about <= at_most[:, None])  # a few a row, but for ties
+    d = np.zeros(len(q))
+    for j in range(queries.shape[1]):
+        step = queries[q, j] - base[b, j]
+        d += step * step
+    kept = d <= limit[q]
+    q, b, d = q[kept], b[kept], d[kept]
+    order = np.lexsort((b, d, q))
+    q, b, d = q[order], b[order], d[order]
+    rank = np.arange(len(q)) - np.searchsorted(q, q)
+    return q[rank < k], b[rank < k], d[rank < k]
+
+
 def _meet(k: int, qid_type: pa.DataType, bid_type: pa.DataType, y_type: pa.DataType):
     """A block of queries and a chunk to each query's k nearest rows of the chunk within reach."""
     schema = pa.schema([("qid", qid_type), ("bid", bid_type), ("y", y_type), ("d2", pa.float64())])
@@ -161,12 +187,11 @@ def _meet(k: int, qid_type: pa.DataType, bid_type: pa.DataType, y_type: pa.DataT
                 reach = cell["reach"].to_numpy()
                 queries = cell["qvecs"].to_numpy().reshape(len(reach), -1)
                 base = cell["vecs"].to_numpy().reshape(len(cell["ids"]), -1)
-                d = squared(queries, base)
-                q, b = k_least(d, k, (reach * (1 + SLACK)) ** 2)
+                q, b, d = nearest_pairs(queries, base, k, (reach * (1 + SLACK)) ** 2)
                 if not len(q):
                     continue
                 yield pa.RecordBatch.from_arrays([cell["qids"].take(pa.array(q)), cell["ids"].take(pa.array(b)),
-                                                  cell["ys"].take(pa.array(b)), pa.array(d[q, b])], schema=schema)
+                                                  cell["ys"].take(pa.array(b)), pa.array(d)], schema=schema)
     return run
 
 
@@ -200,8 +225,8 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, report: dict | None = N
         d, reach = t.column("d").to_numpy(), t.column("reach").to_numpy()
         return pa.RecordBatch.from_pylist([{
             "cell": t.column("cell")[0].as_py(), "qlo": float((d - reach).min()), "qhi": float((d + reach).max()),
-            "qids": t.column("qid").to_pylist(), "reach": reach.tolist(),
-            "qvecs": matrix(t.column("vec").combine_chunks()).ravel().tolist()}], schema=pa.schema([
+            "qids": t.column("qid").to_pylist(), "reach": reach,
+            "qvecs": matrix(t.column("vec").combine_chunks()).ravel()}], schema=pa.schema([
                 ("cell", pa.int32()), ("qlo", pa.float64()), ("qhi", pa.float64()), ("qids", pa.list_(qid_type)),
                 ("reach", pa.list_(pa.float64())), ("qvecs", pa.list_(pa.float64()))]))
     blocks = pairs.repartitionByRange("cell", "d", "qid").sortWithinPartitions("cell", "d").mapInArrow(
@@ -282,15 +307,15 @@ def largest(queries: DataFrame, base: DataFrame, report: dict | None = None) ->
 
         def block(t: pa.Table) -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist([{
-                "least": t.column("norm").to_numpy().min(), "qids": t.column("qid").to_pylist(), "reach": np.sqrt(t.column("d2").to_numpy()).tolist(),
-                "qvecs": matrix(t.column("vec").combine_chunks()).ravel().tolist()}], schema=pa.schema([
+                "least": t.column("norm").to_numpy().min(), "qids": t.column("qid").to_pylist(), "reach": np.sqrt(t.column("d2").to_numpy()),
+                "qvecs": matrix(t.column("vec").combine_chunks()).ravel()}], schema=pa.schema([
                     ("least", pa.float64()), ("qids", pa.list_(qid_type)), ("reach", pa.list_(pa.float64())), ("qvecs", pa.list_(pa.float64()))]))
 
         def chunk(t: pa.Table) -> pa.RecordBatch:
             t = t.sort_by("bid")
             return pa.RecordBatch.from_pylist([{
                 "most": t.column("norm").to_numpy().max(), "ids": t.column("bid").to_pylist(), "ys": [None] * len(t),
-                "vecs": matrix(t.column("vec").combine_chunks()).ravel().tolist()}], schema=pa.schema([
+                "vecs": matrix(t.column("vec").combine_chunks()).ravel()}], schema=pa.schema([
                     ("most", pa.float64()), ("ids", pa.list_(bid_type)), ("ys", pa.list_(y_type)), ("vecs", pa.list_(pa.float64()))]))
 
         def packed(rows, key, most, close, schema):
