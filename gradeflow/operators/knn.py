@@ -154,7 +154,8 @@ def nearest_pairs(queries: np.ndarray, base: np.ndarray, k: int, limit: np.ndarr
     """(row, place, squared distance) of the k nearest base rows of each query within its limit, ties by the smaller place.
     A matrix product gives all distances but for their rounding; only pairs that may be among the k are added up."""
     own, other = (queries ** 2).sum(1), (base ** 2).sum(1)
-    about = own[:, None] + other - 2 * (queries @ base.T)
+    with np.errstate(invalid="ignore"):
+        about = own[:, None] + other - 2 * (queries @ base.T)
     if not np.isfinite(about).all():
         d = squared(queries, base)
         q, b = k_least(d, k, limit)
